@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import mixing, sharding
+from stopweave.llm import decontam, mixing, sharding
 from stopweave.llm.store import table
 
 
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.digest(decontam.decontaminate(docs, items))
+
+
 def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_positional_index": op3_positional_index,
         "op8_shard_tree": op8_shard_tree,
         "op10_mix_sources": op10_mix_sources,
     }
