@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import decontam, mixing, sharding
+from stopweave.llm import decontam, mixing, sharding, substring
 from stopweave.llm.store import table
 
 
@@ -15,6 +15,10 @@ def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, items))
 
 
+def op4_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_positional_index": op3_positional_index,
+        "op4_count_min": op4_count_min,
         "op8_shard_tree": op8_shard_tree,
         "op10_mix_sources": op10_mix_sources,
     }
