@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import decontam, mixing, sharding, substring
+from stopweave.llm import decontam, mixing, pii, sharding, substring
 from stopweave.llm.store import table
 
 
@@ -23,6 +23,10 @@ def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_positional_index": op3_positional_index,
         "op4_count_min": op4_count_min,
         "op8_shard_tree": op8_shard_tree,
+        "op9_disguised_pii": op9_disguised_pii,
         "op10_mix_sources": op10_mix_sources,
     }
 
