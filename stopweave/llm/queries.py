@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import decontam, mixing, pii, sharding, substring
+from stopweave.llm import decontam, mixing, pii, quality, sharding, substring, toxicity
 from stopweave.llm.store import table
 
 
+def op1_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.decontaminate(docs, items))
@@ -19,6 +23,10 @@ def op4_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op7_toxic_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_positive_unlabelled": op1_positive_unlabelled,
         "op3_positional_index": op3_positional_index,
         "op4_count_min": op4_count_min,
+        "op7_toxic_convnet": op7_toxic_convnet,
         "op8_shard_tree": op8_shard_tree,
         "op9_disguised_pii": op9_disguised_pii,
         "op10_mix_sources": op10_mix_sources,
