@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from stopweave.llm import pii
@@ -62,4 +63,11 @@ def test_frames(spark, sf_dir):
         assert [s[:3] for s in got if s[3]] == naive(text or "")
     out = pii.digest(pii.detect(frame)).filter("doc_id = 0").first()
     assert out.base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    digests = {r.doc_id: r for r in pii.digest(pii.detect(frame)).collect()}
+    for i, text in enumerate(texts):
+        r, want = digests[i], naive(text or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in want) for k in range(4)]
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
     assert pii.detect(frame.limit(0)).count() == 0
