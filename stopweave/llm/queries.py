@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import decontam, mixing, neardup, pii, quality, sharding, substring, toxicity
+from stopweave.llm import ann, decontam, mixing, neardup, pii, quality, sharding, substring, toxicity
 from stopweave.llm.store import table
 
 
@@ -23,6 +23,10 @@ def op4_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op5_additive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_positive_unlabelled": op1_positive_unlabelled,
         "op3_positional_index": op3_positional_index,
         "op4_count_min": op4_count_min,
+        "op5_additive_codes": op5_additive_codes,
         "op6_super_minhash": op6_super_minhash,
         "op7_toxic_convnet": op7_toxic_convnet,
         "op8_shard_tree": op8_shard_tree,
