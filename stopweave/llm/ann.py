@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from stopweave.llm import textvec as tv
 from stopweave.llm.store import stored
 
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 16, 256, 6
 #: Vectors that codebooks are fitted on, at most.
-TRAIN, ROUNDS = 8192, 2
+TRAIN, ROUNDS = 8192, 1
 SHORT = 128
 QUERIES, BATCH = 4096, 4096
 QUERY_EVERY, K = 20, 20
