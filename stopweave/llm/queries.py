@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import ann, decontam, mixing, neardup, pii, quality, sharding, substring, toxicity
+from stopweave.llm import ann, decontam, lines, mixing, neardup, pii, quality, sharding, substring, toxicity
 from stopweave.llm.store import table
 
 
@@ -14,6 +14,10 @@ def op1_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.decontaminate(docs, items))
@@ -50,6 +54,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_positive_unlabelled": op1_positive_unlabelled,
+        "op2_deletion_join": op2_deletion_join,
         "op3_positional_index": op3_positional_index,
         "op4_count_min": op4_count_min,
         "op5_additive_codes": op5_additive_codes,
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_deletion_join": lines.SQL}

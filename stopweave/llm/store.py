@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +33,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def beside(
+    docs: DataFrame, needed: Sequence[str], run: Callable[[DataFrame], DataFrame], added: Sequence[str] = ()
+) -> DataFrame:
+    """``run`` on ``docs`` whose other columns are out of its way: under names that no operator uses.
+
+    Returns the columns of ``docs``, in order, and those of ``added`` that ``docs`` has not.
+    """
+    names = {c: c if c in needed else f"_other{i}" for i, c in enumerate(docs.columns)}
+    out = run(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+    more = [c for c in added if c not in docs.columns]
+    return out.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()), *more)
