@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _M, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _POWERS: dict[int, np.ndarray] = {}
 
