@@ -54,30 +54,21 @@ def _uniform(key: Column, path: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
-def _descend(key: Column, path: Column, weights: Sequence[Column], named: str) -> dict[str, Column]:
+def _descend(key: Column, path: Column, weights: Column) -> Column:
     """Index of the child with the smallest draw, the first one on equal draws; weight 0: no child."""
-    draws = {
-        f"_{named}{i}": F.when(w > 0, -F.ln(_uniform(key, F.concat(path, F.lit(f".{i}")))) / w)
-        for i, w in enumerate(weights)
-    }
-    return draws
 
+    def draw(weight: Column, i: Column) -> Column:
+        value = -F.ln(_uniform(key, F.concat(path, F.lit("."), i.cast("string")))) / weight
+        return F.struct(F.when(weight > 0, value).otherwise(F.lit(float("inf"))).alias("draw"), i.alias("child"))
 
-def _first(names: Sequence[str]) -> Column:
-    least = F.least(*names) if len(names) > 1 else F.col(names[0])
-    out = F.lit(len(names) - 1)
-    for i in reversed(range(len(names) - 1)):
-        out = F.when(F.col(names[i]) == least, F.lit(i)).otherwise(out)
-    return out
+    return F.array_min(F.transform(weights, draw))["child"]
 
 
-def _weights(table: Sequence[Sequence[float]], index: Column) -> list[Column]:
-    """Column j of ``table`` in row ``index``; short rows are filled with 0."""
+def _row(table: Sequence[Sequence[float]], index: Column) -> Column:
+    """Row ``index`` of a table of weights; short rows are filled with 0, so that the table is one literal."""
     width = max(map(len, table))
-    return [
-        F.element_at(F.array(*[F.lit(float(row[j]) if j < len(row) else 0.0) for row in table]), index + 1)
-        for j in range(width)
-    ]
+    rows = [[float(w) for w in row] + [0.0] * (width - len(row)) for row in table]
+    return F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in rows]), index + 1)
 
 
 def with_shard(rows: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
@@ -89,20 +80,15 @@ def with_shard(rows: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
     for rack in racks:
         first_shard.append(first_shard[-1] + len(rack))
     kept = rows.columns
-    levels = (
-        ("r", F.lit("r"), [F.lit(float(sum(map(sum, x)))) for x in tree.regions]),
-        ("k", F.concat(F.lit("k"), F.col("_r")), _weights([[sum(k) for k in x] for x in tree.regions], F.col("_r"))),
-        ("s", F.concat(F.lit("s"), F.col("_k")), _weights(racks, F.col("_k"))),
-    )
-    for name, path, weights in levels:
-        draws = _descend(F.col(key), path, weights, name)
-        child = _first(list(draws))
-        if name == "k":
-            child = child + F.element_at(F.array(*map(F.lit, first_rack)), F.col("_r") + 1)
-        if name == "s":
-            child = child + F.element_at(F.array(*map(F.lit, first_shard)), F.col("_k") + 1)
-        rows = rows.withColumns(draws).withColumn(f"_{name}", child.cast("int"))
-    return rows.select(*kept, F.col("_s").alias(out))
+    root = [[sum(map(sum, x)) for x in tree.regions]]
+    level = [[sum(k) for k in x] for x in tree.regions]
+    first = lambda numbers, at: F.element_at(F.array(*map(F.lit, numbers)), at + 1)
+    k = F.col(key)
+    rows = rows.withColumn("_r", _descend(k, F.lit("r"), _row(root, F.lit(0))))
+    rack = _descend(k, F.concat(F.lit("k"), F.col("_r").cast("string")), _row(level, F.col("_r")))
+    rows = rows.withColumn("_k", first(first_rack, F.col("_r")) + rack)
+    shard = _descend(k, F.concat(F.lit("s"), F.col("_k").cast("string")), _row(racks, F.col("_k")))
+    return rows.select(*kept, (first(first_shard, F.col("_k")) + shard).cast("int").alias(out))
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
