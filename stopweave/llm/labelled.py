@@ -1,7 +1,11 @@
-"""Bounded samples of labelled documents, for fitting a model on the driver."""
+"""Bounded samples of labelled documents, and models fitted on them in one task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +20,32 @@ def label_counts(labels: DataFrame, column: str, learn: Column) -> dict[int, int
     return {int(r[0]): int(r[1]) for r in rows}
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int, seed: int = 0) -> list:
-    """At most ``per_class`` documents of each label that may be learnt from: rows of doc_id, text, lang, label.
+def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int, seed: int = 0) -> DataFrame:
+    """At most ``per_class`` documents of each label that may be learnt from: doc_id, text, lang and label.
 
-    The ids drawn are broadcast, at most ``2 * per_class`` of them, so no text is shuffled. A document
-    labelled twice counts with its larger label, and a document that is there twice counts once.
+    The ids drawn are broadcast, at most ``2 * per_class`` of them, so no text is shuffled.
+    A document labelled twice counts with its larger label.
     """
     known = labels.filter(learn & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
     order = F.xxhash64("doc_id", F.lit(seed))
     drawn = [known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = docs.select("doc_id", "text", "lang").join(ids, "doc_id")
-    first = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text or "")):
-        first.setdefault(r.doc_id, r)
-    return list(first.values())
+    return docs.select("doc_id", "text", "lang").join(ids, "doc_id")
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object], order: tuple[str, str] = ("doc_id", "text")) -> object:
+    """``fit`` of all ``rows``, a bounded sample, in one task of an executor; the driver only gets the model.
+
+    The sample is put into order first, and of rows that repeat the first column the first counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, dict] = {}
+        for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r[order[0]], r[order[1]] or "")):
+            first.setdefault(r[order[0]], r)
+        if first:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(list(first.values())))]})
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else fit([])
