@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
 from stopweave.llm.labelled import fitted
-from stopweave.llm.store import stored
+from stopweave.llm.store import small_batches, stored
 
 BOOKS, WORDS, BEAM = 16, 256, 6
 #: Vectors that codebooks are fitted on, at most.
@@ -138,7 +138,7 @@ INDEX = "vec_id long, codes binary, norm float, vector array<double>"
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, Codebooks | None]:
     """Codes, norms and vectors of all usable rows, in the shared folder, and the codebooks."""
-    good = usable(rows)
+    good = usable(small_batches(rows))
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN)
     books = fitted(drawn, lambda v: Codebooks.fit(np.array([r["vector"] for r in v])) if v else None, ("vec_id", "vector"))
     shared = rows.sparkSession.sparkContext.broadcast(books)

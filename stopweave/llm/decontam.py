@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
-from stopweave.llm.store import stored
+from stopweave.llm.store import small_batches, stored
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -68,7 +68,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row per segment; written to the shared folder, as what is found refers to it by segment and ordinal."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_index, SEGMENT), "postings")
+    return stored(small_batches(docs).select("doc_id", "text").mapInArrow(_index, SEGMENT), "postings")
 
 
 @dataclass

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
-from stopweave.llm.store import stored
+from stopweave.llm.store import small_batches, stored
 
 SHINGLE = 5
 #: Linked if COMMON[0] * size of the intersection >= COMMON[1] * size of the union.
@@ -291,7 +291,7 @@ def _block_pairs(members: DataFrame, comps: DataFrame | None, signed: DataFrame)
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed", "uncompressed")
+    signed = stored(small_batches(docs).select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed", "uncompressed")
     real = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     # one row for each class; a doc_id that is the first of several classes keeps its largest set

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
+from stopweave.llm.store import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -246,7 +247,7 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every document, ascending by start and kind; offsets count code points."""
-    return docs.select("doc_id", "text").mapInArrow(_detect, f"doc_id long, spans {SPANS}")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_detect, f"doc_id long, spans {SPANS}")
 
 
 def digest(rows: DataFrame) -> DataFrame:

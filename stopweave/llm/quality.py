@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
 from stopweave.llm.labelled import held_out
+from stopweave.llm.store import small_batches
 
 FOLDS, FOLD = 5, 0
 #: Positives, and unlabelled texts, that a model is fitted on, at most.
@@ -203,7 +204,7 @@ def _matrix(docs: DataFrame, ids: DataFrame) -> np.ndarray:
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), values], ["doc_id", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     found = rows.mapInArrow(run, "doc_id long, x array<double>").collect()
     return np.array([r.x for r in sorted(found)] or np.zeros((0, FEATURES)))
 
@@ -226,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = net.scores(features(data, offsets)) if net else np.full(rows.num_rows, prior)
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(s)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

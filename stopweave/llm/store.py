@@ -7,6 +7,7 @@ gets a temporary one.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -31,6 +32,21 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session that sends at most 1000 rows and 4 MB at once to Python.
+
+    Spark's own limits, 10,000 rows and 64 MB, are for narrow rows: with whole texts or sets of shingles, each
+    task holds a batch two or three times over on both sides. The setting stays, as plans run later.
+    """
+    conf = rows.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"[0-9]+", conf.get(key, None) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            conf.set(key, str(most))
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

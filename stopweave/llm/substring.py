@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopweave.llm import textvec as tv
-from stopweave.llm.store import stored
+from stopweave.llm.store import small_batches, stored
 
 WINDOW = 35
 DEPTH = 2
@@ -336,7 +336,7 @@ def _left(words: tv.Words, gone: np.ndarray, doc_ids: list) -> pa.RecordBatch:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the text that is left) of every document."""
-    segments = stored(docs.select("doc_id", "text").mapInArrow(_segments, SEGMENTS), "segments", "uncompressed")
+    segments = stored(small_batches(docs).select("doc_id", "text").mapInArrow(_segments, SEGMENTS), "segments", "uncompressed")
     n = segments.agg(F.sum("n_windows")).first()[0] or 0
     width, shard_bits = _shape(n)
     asked = _sketches(segments, width, shard_bits)
