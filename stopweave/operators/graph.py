@@ -141,3 +141,66 @@ def turn_rules(restrictions: DataFrame, edges: DataFrame) -> DataFrame:
 def net_graph(hops: DataFrame) -> DataFrame:
     """Use of each edge (eid) by trips (trip_id, route): number of trips and the routes' names."""
     return hops.groupBy("eid").agg(F.countDistinct("trip_id").alias("n_trips"), F.array_sort(F.collect_set("route")).alias("routes"))
+
+
+def joined_gaps(nodes: DataFrame, edges: DataFrame, metres: float = 1.0) -> DataFrame:
+    """Edges after nodes with one neighbour that lie within ``metres`` of one another have become one node.
+
+    Groups of such nodes take the smallest id; what becomes a loop is gone. nodes: nid, lat, lon.
+    """
+    from stopweave.operators.spatial import within_radius
+
+    ends = edges.select(F.col("src").alias("nid")).unionByName(edges.select(F.col("dst").alias("nid")))
+    loose = ends.groupBy("nid").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("nid")
+    points = nodes.join(loose, "nid", "left_semi").select("nid", "lat", "lon")
+    near = within_radius(points, points, metres).filter("nid < nid_r")
+    same = components(near.select(F.col("nid").alias("src"), F.col("nid_r").alias("dst")))
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(same.select(F.col("nid").alias(end), F.col("comp").alias("_c")), end, "left")
+        out = out.withColumn(end, F.coalesce("_c", end)).drop("_c")
+    return out.filter("src <> dst").select(*edges.columns)
+
+
+def collapsed_chains(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Runs of edges through nodes with two neighbours as one edge: src, dst, cost (summed), n_edges.
+
+    Edges are undirected (src, dst, cost) and only join where their ``kind`` is equal. ``kept``: nodes (nid) that
+    stay, e.g. stations. A chain is a component of the edges around its inner nodes, found like those of the
+    graph, in a number of rounds that grows with the logarithm of its length; rings stay as they are.
+    """
+    e = edges.withColumn("eid", F.xxhash64("src", "dst"))
+    ends = e.select("eid", "kind", F.col("src").alias("nid")).unionByName(e.select("eid", "kind", F.col("dst").alias("nid")))
+    inner = ends.groupBy("nid").agg(
+        F.count(F.lit(1)).alias("_n"), F.countDistinct("kind").alias("_k"), F.min("eid").alias("a"), F.max("eid").alias("b")
+    )
+    inner = inner.filter("_n = 2 and _k = 1 and a <> b")
+    if kept is not None:
+        inner = inner.join(kept, "nid", "left_anti")
+    chains = components(inner.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("nid", "eid")
+    rows = e.join(chains, "eid", "left").withColumn("comp", F.coalesce("comp", "eid"))
+    outer = ends.join(inner.select("nid"), "nid", "left_anti").join(rows.select("eid", "comp"), "eid")
+    tips = outer.groupBy("comp").agg(F.min("nid").alias("src"), F.max("nid").alias("dst"), F.count(F.lit(1)).alias("_tips"))
+    sums = rows.groupBy("comp").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_edges"), F.first("kind").alias("kind"))
+    lines = sums.join(tips.filter("_tips = 2 and src <> dst"), "comp")
+    rings = rows.join(lines.select("comp"), "comp", "left_anti").withColumn("n_edges", F.lit(1).cast("long"))
+    columns = ["src", "dst", "kind", "cost", "n_edges"]
+    return lines.select(*columns).unionByName(rings.select(*columns))
+
+
+def station_snaps(stations: DataFrame, segments: DataFrame, metres: float, max_level: int, k: int = 5) -> DataFrame:
+    """Where stations without an edge join the graph: nid, eid, progr, dist, split.
+
+    ``stations``: nid, lat, lon, name; ``segments``: eid, src, dst, lvl, oneway, lat1, lon1, lat2, lon2. The nearest
+    k edges of level ``max_level`` or lower within reach are taken; an edge whose end is half a metre away is
+    used there (``split`` false), any other is cut.
+    """
+    from stopweave.functions.geo import haversine
+    from stopweave.operators.spatial import near_segments, nearest
+
+    pairs = near_segments(stations, segments.filter(F.col("lvl") <= max_level), metres)
+    near = nearest(pairs, ["nid"], ["dist", "eid"], k)
+    here = lambda end: haversine(F.col(f"lat{end}"), F.col(f"lon{end}"), lat, lon)
+    lat = F.col("lat1") + F.col("progr") * (F.col("lat2") - F.col("lat1"))
+    lon = F.col("lon1") + F.col("progr") * (F.col("lon2") - F.col("lon1"))
+    return near.select("nid", "eid", "progr", "dist", (F.least(here(1), here(2)) >= 0.5).alias("split"))

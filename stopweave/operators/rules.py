@@ -30,7 +30,7 @@ def matches(tags: Column, rule: Rule) -> Column:
         return value.isNotNull()
     hit = value == rule.value
     if rule.flags & MULTI:
-        hit = hit | F.array_contains(F.transform(F.split(value, ";"), F.trim), rule.value)
+        hit = hit | F.array_contains(F.transform(F.split(value, ";"), lambda v: F.trim(v)), rule.value)
     return F.coalesce(hit, F.lit(False))
 
 
