@@ -84,6 +84,7 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "GROUP_ROWS", 50)
     monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "BEST_ROUNDS", 1)
     monkeypatch.setattr(neardup, "HUB_SALT", 3)
     rng = random.Random(6)
     base = prose(rng, 100)
