@@ -68,9 +68,10 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = R
     n = docs.count()
     salts = 1 << max(6, math.ceil(math.log2(max(1, n / SALT_ROWS))))
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f"/{seed}"))
     rows = docs.withColumns({"size": word_count(F.col("text")), "_key": key}).withColumns(
         {
-            "_salt": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(salts)).cast("int"),
+            "_salt": (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % salts).cast("int"),
             "_band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 32).cast("int"),
         }
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopweave.llm import ann, decontam, lines, mixing, neardup, pii, quality, sharding, substring, toxicity
+from stopweave.llm import ann, decontam, lines, mixing, neardup, oracles, pii, quality, sharding, substring, toxicity
 from stopweave.llm.store import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_deletion_join": lines.SQL}
+    return dict(oracles.SQL)
