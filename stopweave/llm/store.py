@@ -7,6 +7,7 @@ gets a temporary one.
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stopweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path or _own()).rstrip("/")
+
+
+@functools.cache
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="stopweave-")
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
