@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,15 +12,16 @@ from pyspark.sql import functions as F
 from stopweave.functions.costs import INFINITE, quantized
 
 
+@functools.cache
+def _own() -> str:
+    """A folder for sessions without the setting, on one machine."""
+    return "file://" + tempfile.mkdtemp(prefix="stopweave-")
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, or in memory-safe form by checkpoint where that is unset."""
+    """``df`` written to the folder that all nodes share, and read again: lineage ends here."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="stopweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
     path = f"{base.rstrip('/')}/stopweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
