@@ -17,6 +17,7 @@ and a repeated query asks with the smallest of its vectors.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,13 +69,17 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 @dataclass
 class Codebooks:
-    """Codewords, one book after another, and all inner products between them."""
+    """Codewords, one book after another; their inner products are made where they are needed and not sent along."""
 
     words: np.ndarray
     books: int
 
-    def __post_init__(self) -> None:
-        self.gram = self.words @ self.words.T
+    @functools.cached_property
+    def gram(self) -> np.ndarray:
+        return (self.words @ self.words.T).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "books": self.books}
 
     @property
     def size(self) -> int:
@@ -109,7 +114,7 @@ class Codebooks:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         out = np.zeros((len(x), self.books), np.int64)
         k = self.size
-        norms = np.diag(self.gram)
+        norms = (self.words**2).sum(1)
         for lo in range(0, len(x), 128):
             part = x[lo : lo + 128]
             n = len(part)
