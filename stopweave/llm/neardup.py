@@ -39,10 +39,10 @@ SHINGLE = 5
 #: Linked if COMMON[0] * size of the intersection >= COMMON[1] * size of the union.
 COMMON = (100, 75)
 M, ROWS = 128, 4
-HUB_ROUNDS, BEST_ROUNDS = 3, 3
+HUB_ROUNDS, BEST_ROUNDS = 3, 2
 MAYBE = 0.58
 #: Members of a block, members of a hub for each salt, and rows of blocks for each group.
-BLOCK, HUB_SALT, GROUP_ROWS = 256, 200, 20_000
+BLOCK, HUB_SALT, GROUP_ROWS = 2048, 200, 20_000
 _FRACTION = 25  # bits of a value below its rank
 
 
