@@ -7,14 +7,15 @@ into ``@`` and ``.``. A match that holds a rewritten character is mapped back to
 it came from and added, unless a base span of its kind covers it.
 
 Most texts hold nothing to look for. Per run of texts, one pass over the bytes finds those with an ``@``, a
-digit, a byte that homoglyphs begin with, or a word that disguises are made of; only these become Python
-strings. All detectors take time in proportion to the text, so long texts and long runs of digits are safe.
+digit, a byte that homoglyphs begin with, a bracket that can hold a disguise, or a word that disguises are made
+of; only these become Python strings. All detectors take time in proportion to the text, so long texts and long runs of digits are safe.
 
 Nulls and ties: a null text counts as empty; every row gets one result row, repeated or not.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -210,22 +211,49 @@ _ODD[_BYTES] = True
 _ODD[0xC2] = True  # no-break space and soft hyphen, and signs that only cost time
 
 
+_DIGIT, _OPENING, _INNER = np.zeros((3, 256), bool)
+_DIGIT[0x30:0x3A] = True
+_OPENING[list(b"([{<")] = True
+_INNER[[ord(w[0]) for w in (" ", "@", ".", *_ATS, *_DOTS)]] = True
+_ASCII = tv.ALNUM.copy()
+_ASCII[0x80:] = False
+
+
+@functools.cache
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    """Words in lower case, and with the other letters that the patterns, which ignore case, let pass for theirs."""
+    out = []
+    for w in words:
+        made = [""]
+        for c in w:
+            same = [c, *([] if c.isascii() else [c.upper()]), *{"i": "ıİ", "s": "ſ"}.get(c, "")]
+            made = [m + x for m in made for x in same]
+        out += made
+    return _word_hashes(out)
+
+
 def worth(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which texts of a run can have base spans, and which can have disguised ones."""
     n = len(offsets) - 1
-    words = tv.split_words(tv.LOWER[data], offsets, tv.ALNUM)
-    short = np.flatnonzero(words.end - words.start <= 7)
-    h, text = words.hashes()[short], words.text_of()[short]
-    spelled, dot = _member(h, _word_hashes(list(_SPELLED))), _member(h, _word_hashes(list(_DOTS)))
-    pair = spelled[1:] & spelled[:-1] & (np.diff(short) == 1) & (np.diff(text) == 0)
+    low = tv.LOWER[data]
     some = lambda mask: np.add.reduceat(np.append(mask, False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
     plain, odd = some(_PLAIN[data].astype(np.int32)), some(_ODD[data].astype(np.int32))
-    bracket = some(np.isin(data, np.frombuffer(b"([{<", np.uint8)).astype(np.int32)) & plain
+    after = np.append(low[1:], np.uint8(0x20))  # of a bracket: a space, or what _ATS, _DOTS, @ and . begin with
+    bracket = some((_OPENING[data] & _INNER[after]).astype(np.int32))
     words_found = np.zeros(n, bool)
-    words_found[text[dot]] = True
-    words_found[text[1:][pair]] = True
-    near = spelled & plain[text]
-    words_found[text[near]] = True
+    for kind in (tv.ALNUM, _ASCII):  # words with the letters beside them, then without, as these can be signs
+        words = tv.split_words(low, offsets, kind)
+        short = np.flatnonzero(words.end - words.start <= 7)
+        h, text = words.hashes()[short], words.text_of()[short]
+        spelled, dot, plus = (_member(h, _hashes(w)) for w in (tuple(_SPELLED), _DOTS, _PLUS))
+        beside = (np.diff(short) == 1) & (np.diff(text) == 0)
+        words_found[text[dot]] = True
+        words_found[text[1:][spelled[1:] & spelled[:-1] & beside]] = True
+        words_found[text[spelled & plain[text]]] = True
+        of = text[plus]
+        at = short[plus] + 1  # the word after, which can be long
+        at, of = at[at < len(words.start)], of[at < len(words.start)]
+        words_found[of[_DIGIT[data[words.start[at]]]]] = True
     return plain, odd | words_found | bracket
 
 

@@ -71,3 +71,21 @@ def test_frames(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
     assert pii.detect(frame.limit(0)).count() == 0
+
+
+GATED = [
+    "write to jane(at)example.com", "jane [at] example(.)com", "jane ( AT ) example.com", "jane <chez> example.com",
+    "call plus 49 30 1234567", "call Plus 49301234567 now", "llame más 49 30 1234567", "MÁS 49 30 1234567", "mas  49 30 1234567",
+    "×plus 49 30 1234567", "plus vier neun drei null eins zwei drei vier fünf", "FÜNF ZÉRO dot eins dot null dot zwei", "mail jane at site poınt org",
+    "tel +fünf null FÜNF null FÜNF null FÜNF null FÜNF", "nothing (here) plus that", "", "plus",
+]
+
+
+def test_gate_lets_all_disguises_through(spark):
+    frame = spark.createDataFrame(list(enumerate(GATED)), "doc_id long, text string")
+    rows = {r.doc_id: [(s.start, pii.KINDS.index(s.kind), s.end, s.base) for s in r.spans] for r in pii.detect(frame).collect()}
+    for i, text in enumerate(GATED):
+        assert rows[i] == pii.find(text), text
+    assert all(rows[i] for i in range(11)), rows
+    offsets, data = pii.tv.bytes_of(pii.pa.array(["nothing (here) plus that", "so (he) said"], pii.pa.large_string()))
+    assert not any(map(any, pii.worth(data, offsets)))
