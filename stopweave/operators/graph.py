@@ -191,18 +191,17 @@ def collapsed_chains(edges: DataFrame, kept: DataFrame | None = None) -> DataFra
     return lines.select(*columns).unionByName(rings.select(*columns))
 
 
-def station_snaps(stations: DataFrame, segments: DataFrame, metres: float, max_level: int, k: int = 5) -> DataFrame:
+def station_snaps(stations: DataFrame, segments: DataFrame, metres: float, max_level: int) -> DataFrame:
     """Where stations without an edge join the graph: nid, eid, progr, dist, split.
 
-    ``stations``: nid, lat, lon, name; ``segments``: eid, src, dst, lvl, oneway, lat1, lon1, lat2, lon2. The nearest
-    k edges of level ``max_level`` or lower within reach are taken; an edge whose end is half a metre away is
+    ``stations``: nid, lat, lon, name; ``segments``: eid, src, dst, lvl, oneway, lat1, lon1, lat2, lon2. All
+    edges of level ``max_level`` or lower within reach are taken; an edge whose end is half a metre away is
     used there (``split`` false), any other is cut.
     """
     from stopweave.functions.geo import haversine
-    from stopweave.operators.spatial import near_segments, nearest
+    from stopweave.operators.spatial import near_segments
 
-    pairs = near_segments(stations, segments.filter(F.col("lvl") <= max_level), metres)
-    near = nearest(pairs, ["nid"], ["dist", "eid"], k)
+    near = near_segments(stations, segments.filter(F.col("lvl") <= max_level), metres)
     here = lambda end: haversine(F.col(f"lat{end}"), F.col(f"lon{end}"), lat, lon)
     lat = F.col("lat1") + F.col("progr") * (F.col("lat2") - F.col("lat1"))
     lon = F.col("lon1") + F.col("progr") * (F.col("lon2") - F.col("lon1"))

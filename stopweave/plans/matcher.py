@@ -30,7 +30,6 @@ class Options:
     wrong_way_entry_s: float = 300.0
     emission: float = 0.0039
     transition: float = 0.0083
-    candidates: int = 8
     max_lat: float = 72.0
 
 
@@ -55,11 +54,11 @@ def road_graph(tables: dict[str, DataFrame], options: Options) -> DataFrame:
 
 
 def stop_candidates(stops: DataFrame, edges: DataFrame, options: Options) -> DataFrame:
-    """stop_id, cand, eid, progr, pen: the nearest edges of each stop, never against a one-way street."""
+    """stop_id, cand, eid, progr, pen: all edges within reach of each stop, never against a one-way street."""
     open_edges = edges.filter("oneway <> 2").select("eid", "lat1", "lon1", "lat2", "lon2")
     near = spatial.near_segments(stops, open_edges, options.snap_m, options.max_lat)
-    best = spatial.nearest(near, ["stop_id"], ["dist", "eid"], options.candidates)
-    return best.select("stop_id", F.col("rank").alias("cand"), "eid", "progr", costs.emission(F.col("dist"), options.emission).alias("pen"))
+    rank = F.row_number().over(Window.partitionBy("stop_id").orderBy("dist", "eid")).cast("long")
+    return near.select("stop_id", rank.alias("cand"), "eid", "progr", costs.emission(F.col("dist"), options.emission).alias("pen"))
 
 
 def _sequences(feed: dict[str, DataFrame], modes: set[int] | None) -> DataFrame:

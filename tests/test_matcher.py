@@ -1,5 +1,6 @@
 from stopweave import cli
-from stopweave.plans.matcher import Options, match_feed, road_graph
+from stopweave.operators import graph
+from stopweave.plans.matcher import Options, match_feed, road_graph, stop_candidates
 from stopweave.sources import gtfs, osm
 
 NODES = {1: (47.0, 8.0), 2: (47.0, 8.01), 3: (47.01, 8.01), 4: (47.01, 8.02), 5: (47.02, 8.0)}
@@ -48,3 +49,15 @@ def test_match_and_command_line(spark, tmp_path):
     part = str(tmp_path / "part.osm")
     assert cli.main(["extract", feed_path, map_path, "-o", part]) == 0
     assert osm.read(spark, part)["way"].count() == 3
+
+
+def test_all_edges_within_reach(spark):
+    """Twelve pieces of the nearest street, both ways, and the right road behind them."""
+    lines = [(i, 47.0, 8.0 + i * 1e-5, 47.0, 8.0 + (i + 1) * 1e-5) for i in range(24)] + [(99, 47.0005, 8.0, 47.0005, 8.001)]
+    edges = spark.createDataFrame([(*x, 0, 0) for x in lines], "eid long, lat1 double, lon1 double, lat2 double, lon2 double, oneway int, lvl int")
+    stops = spark.createDataFrame([("a", 47.0001, 8.0001)], "stop_id string, lat double, lon double")
+    rows = stop_candidates(stops, edges, Options()).orderBy("cand").collect()
+    assert [r.cand for r in rows] == list(range(1, 26)) and rows[-1].eid == 99
+    ends = edges.withColumns({"src": edges.eid, "dst": edges.eid + 1})
+    stations = stops.selectExpr("1L as nid", "lat", "lon", "stop_id as name")
+    assert graph.station_snaps(stations, ends, 100, 5).count() == 25
