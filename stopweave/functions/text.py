@@ -114,7 +114,7 @@ def best_subsequence(a: str, b: str) -> float:
     """Best edit similarity of a run of words of one name with the other name."""
 
     def runs(text: str) -> Iterable[str]:
-        words = re.findall(r"\w+", text)[:12]
+        words = re.findall(r"\w+", text)
         return {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
 
     best = 0.0

@@ -86,3 +86,8 @@ def test_names():
     assert text.edit_distance("kitten", "sitting") == 3
     assert text.best_subsequence("freiburg central station", "central station") == 1.0
     assert text.java_replacement(r"\1 & $x\.") == "$1 $0 \\$x."
+
+
+def test_best_subsequence_takes_all_words():
+    words = " ".join(f"w{i}" for i in range(14))
+    assert text.best_subsequence(f"{words} central station", "central station") == 1.0
