@@ -15,6 +15,7 @@ Nulls and ties: a null text counts as empty; every row gets one result row, repe
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Callable, Iterator
@@ -33,7 +34,8 @@ Span = tuple[int, int]
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: From the first digit of a run, as no later one does better; so a run is read four times at most.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OTHER = re.compile(r"[^0-9]+")
@@ -96,7 +98,7 @@ _CHARS |= {first + i: chr(0x41 + i) for first in range(0x1D400, 0x1D6A4, 52) for
 _CHARS |= {first + 26 + i: chr(0x61 + i) for first in range(0x1D400, 0x1D6A4, 52) for i in range(26)}
 _CHARS |= {c: "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _CHARS |= {0xA0: " ", 0x2009: " ", 0x202F: " "}
-_LOOKALIKE = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]+")
+_FOREIGN = re.compile(r"[^\x00-\x7F]")
 #: First bytes, in UTF-8, of the characters above, but for the no-break space and the soft hyphen (C2).
 _BYTES = sorted({chr(c).encode()[0] for c in _CHARS})
 
@@ -114,11 +116,19 @@ _alt = lambda words: "|".join(sorted(words, key=len, reverse=True))  # noqa: E73
 _ATOM = rf"(?:(?<!\w)(?:{_alt(_SPELLED)})(?!\w)|[0-9])"
 _NUMBER = re.compile(rf"(?i)(?:(?<!\w)(?:{_alt(_PLUS)})[ ]+(?={_ATOM}))?{_ATOM}(?:[ -]?{_ATOM})+|(?<!\w)(?:{_alt(_SPELLED)})(?!\w)")
 _PART = re.compile(rf"(?i){_alt(_SPELLED)}|{_alt(_PLUS)}|[0-9]")
-_BETWEEN = r"[ ]*[(\[{<][ ]*(?:%s|%s)[ ]*[)\]}>][ ]*"
-_AT = re.compile(
-    "(?i)" + _BETWEEN % (_alt(_ATS), "@") + rf"|(?<=[a-z0-9])[ ]+(?:{_alt(_ATS)})[ ]+(?=[a-z0-9-]+(?:[ ]+(?:{_alt(_DOTS)})[ ]+|[ ]*[(\[{{<][ ]*(?:{_alt(_DOTS)}))[a-z0-9]*)"
+#: What the patterns, which ignore case, let pass for i and s.
+_FOLD = str.maketrans({"ı": "i", "İ": "i", "ſ": "s"})
+_WORD = re.compile(r"\w+")
+#: A sign between brackets, and as a word; patterns begin at the bracket and at the last space before the word.
+_IN_BRACKETS = r"(?i)[(\[{<][ ]*+(?:%s|%s)[ ]*+[)\]}>][ ]*"
+_AT = re.compile(_IN_BRACKETS % (_alt(_ATS), "@"))
+_DOT = re.compile(_IN_BRACKETS % (_alt(_DOTS), r"\."))
+_AT_WORD = re.compile(
+    rf"(?i)[ ](?:{_alt(_ATS)})(?=[ ]+[a-z0-9-]+(?:[ ]+(?:{_alt(_DOTS)})[ ]+|[ ]*[(\[{{<][ ]*(?:{_alt(_DOTS)}))[a-z0-9]*)"
 )
-_DOT = re.compile("(?i)" + _BETWEEN % (_alt(_DOTS), r"\.") + rf"|(?<=[a-z0-9])[ ]+(?:{_alt(_DOTS)})[ ]+(?=[a-z0-9])")
+_DOT_WORD = re.compile(rf"(?i)[ ](?:{_alt(_DOTS)})(?=[ ]+[a-z0-9])")
+_BEFORE = re.compile(r"(?i)[a-z0-9]")
+_SPACES = re.compile("[ ]*")
 
 
 class Tape:
@@ -133,32 +143,49 @@ class Tape:
         """Ranges, ascending, and what takes the place of each; each new character stands for the whole range."""
         if not edits:
             return
-        text, parts, at = [], ([], [], []), 0
+        text, at = [], 0
         for begin, end, to in edits:
-            if not to:  # what follows a deleted character is new by its neighbour
-                self.new[end : end + 1] = True
             text += self.text[at:begin], to
-            for part, own, value in zip(
-                parts, (self.start, self.end, self.new), (self.start[begin], self.end[end - 1], True), strict=True
-            ):
-                part += own[at:begin], np.full(len(to), value, own.dtype)
             at = end
         text.append(self.text[at:])
-        for part, own in zip(parts, (self.start, self.end, self.new), strict=True):
-            part.append(own[at:])
         self.text = "".join(text)
-        self.start, self.end, self.new = map(np.concatenate, parts)
+        begin, end, size = (np.array(x, np.int64) for x in zip(*((b, e, len(to)) for b, e, to in edits), strict=True))
+        self.new[np.minimum(end[size == 0], len(self.new) - 1)] = True  # what follows a deleted character, by its neighbour
+        kept = np.flatnonzero(~tv.covered(begin, end - begin, len(self.new)))
+        order = np.argsort(np.r_[2 * kept + 1, np.repeat(2 * begin, size)], kind="stable")
+        joined = lambda own, value: np.r_[own[kept], np.repeat(value, size)][order]
+        self.start, self.end, self.new = (
+            joined(self.start, self.start[begin]), joined(self.end, self.end[end - 1]), joined(self.new, np.ones(len(size), bool)),
+        )
 
 
 def _lookalikes(text: str) -> list[tuple[int, int, str]]:
-    return [
-        (i, i + 1, _CHARS[ord(text[i])]) for m in _LOOKALIKE.finditer(text) for i in range(m.start(), m.end())
-    ]
+    if text.isascii():
+        return []
+    found = ((m.start(), _CHARS.get(ord(m[0]))) for m in _FOREIGN.finditer(text))
+    return [(i, i + 1, to) for i, to in found if to is not None]
+
+
+def _signs(text: str, bracketed: re.Pattern, word: re.Pattern, sign: str) -> list[tuple[int, int, str]]:
+    """Where ``sign`` is meant, with the spaces around it. A word stands for it only after a letter or digit."""
+    edits, low = [], 0
+    for m in bracketed.finditer(text):
+        edits.append((low + len(text[low : m.start()].rstrip(" ")), m.end(), sign))
+        low = m.end()
+    low = 0
+    for m in word.finditer(text):
+        begin = low + len(text[low : m.start() + 1].rstrip(" "))
+        if m.start() >= low and begin and _BEFORE.match(text, begin - 1):
+            low = _SPACES.match(text, m.end()).end()
+            edits.append((begin, low, sign))
+    return sorted(edits)
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits, with what separates them from the next digit; those written as digits stay."""
     edits = []
+    if not any(w in _SPELLED or w in _PLUS for w in _WORD.findall(text.translate(_FOLD).lower())):
+        return edits
     for m in _NUMBER.finditer(text):
         parts = list(_PART.finditer(text, m.start(), m.end()))
         for p, following in zip(parts, [*parts[1:], None], strict=True):
@@ -172,8 +199,8 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
 def normalised(text: str) -> Tape:
     tape = Tape(text)
     tape.rewrite(_lookalikes(tape.text))
-    tape.rewrite([(*m.span(), "@") for m in _AT.finditer(tape.text)])
-    tape.rewrite([(*m.span(), ".") for m in _DOT.finditer(tape.text)])
+    tape.rewrite(_signs(tape.text, _AT, _AT_WORD, "@"))
+    tape.rewrite(_signs(tape.text, _DOT, _DOT_WORD, "."))
     tape.rewrite(_numbers(tape.text))
     return tape
 
@@ -190,7 +217,8 @@ def find(text: str, disguised: bool = True) -> list[tuple[int, int, int, bool]]:
                 for a, b in f(tape.text):
                     if changed[b] > changed[a]:
                         begin, end = int(tape.start[a]), int(tape.end[b - 1])
-                        if not any(x <= begin and end <= y for x, y in base[k]):
+                        at = bisect.bisect_right(base[k], (begin, len(text) + 1)) - 1  # of a kind, none overlap
+                        if at < 0 or base[k][at][1] < end:
                             spans.append((begin, k, end, False))
     return sorted(set(spans))
 

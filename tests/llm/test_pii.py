@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
 
 from stopweave.llm import pii
 
@@ -89,3 +93,54 @@ def test_gate_lets_all_disguises_through(spark):
     assert all(rows[i] for i in range(11)), rows
     offsets, data = pii.tv.bytes_of(pii.pa.array(["nothing (here) plus that", "so (he) said"], pii.pa.large_string()))
     assert not any(map(any, pii.worth(data, offsets)))
+
+
+LONG = {
+    "spaces": "x (at) 1 " + " " * 1_000_000,
+    "spaces between": ("a" + " " * 50_000) * 20 + "(at) b.c",
+    "brackets": "jane (at) " + "(" * 500_000 + "( " * 250_000,
+    "closed": "(at) " * 200_000,
+    "digits": "1" * 1_000_000,
+    "digits and dots": "1" * 1_000_000 + "...",
+    "dotted": "1." * 500_000,
+    "spelled": "one " * 250_000,
+    "plus": "plus " * 200_000 + "1",
+    "at": "a at b " * 150_000,
+    "signs": "@" * 500_000 + "+1" * 250_000,
+    "lookalikes": "а" * 500_000,
+    "other letters": "ü" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_time_in_proportion(name):
+    """A megabyte of what the patterns begin with takes a second or two; a rescan of each run would take hours."""
+    began = time.perf_counter()
+    pii.find(LONG[name])
+    assert time.perf_counter() - began < 5
+
+
+def test_many_spans():
+    text = "jane.doe@site.org and bob (at) site [dot] org " * 10_000
+    began = time.perf_counter()
+    spans = pii.find(text)
+    assert time.perf_counter() - began < 5
+    assert len(spans) == 20_000 and sum(s[3] for s in spans) == 10_000
+
+
+def test_patterns_agree_with_plain_ones():
+    """Patterns anchored at what is rare find what the plain ones do."""
+    between = r"(?i)[ ]*[(\[{<][ ]*(?:%s|%s)[ ]*[)\]}>][ ]*"
+    dots, ats = pii._alt(pii._DOTS), pii._alt(pii._ATS)
+    domain = rf"(?=[a-z0-9-]+(?:[ ]+(?:{dots})[ ]+|[ ]*[(\[{{<][ ]*(?:{dots}))[a-z0-9]*)"
+    at = re.compile(between % (ats, "@") + rf"|(?<=[a-z0-9])[ ]+(?:{ats})[ ]+{domain}")
+    dot = re.compile(between % (dots, r"\.") + rf"|(?<=[a-z0-9])[ ]+(?:{dots})[ ]+(?=[a-z0-9])")
+    rng = random.Random(1)
+    parts = ["(", ")", "[", "]", " ", "  ", "at", "dot", "@", ".", "a", "1", "chez", " at ", " dot ", "(at)", "<dot>"]
+    for plain, args in ((at, (pii._AT, pii._AT_WORD, "@")), (dot, (pii._DOT, pii._DOT_WORD, "."))):
+        for _ in range(20_000):
+            text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+            assert pii._signs(text, *args) == [(*m.span(), args[2]) for m in plain.finditer(text)], text
+    for _ in range(3000):
+        text = "".join(rng.choices("12.a", k=rng.randrange(1, 24)))
+        assert [s[:3] for s in pii.find(text) if s[3]] == naive(text), text
