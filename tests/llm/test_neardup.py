@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from stopweave.llm import neardup
 
@@ -80,11 +81,13 @@ def test_group_around_one_text(spark):
     check(spark, docs)
 
 
-def test_large_bucket_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_large_bucket_in_blocks(spark, monkeypatch, rounds):
+    """Blocks alone, and after hubs, find what comparing all pairs finds."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "GROUP_ROWS", 50)
-    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
-    monkeypatch.setattr(neardup, "BEST_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "GROUP_BYTES", 10_000)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
     monkeypatch.setattr(neardup, "HUB_SALT", 3)
     rng = random.Random(6)
     base = prose(rng, 100)
@@ -92,11 +95,49 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     check(spark, docs)
 
 
+def test_no_more_links_than_members(spark, monkeypatch):
+    """A group of n alike texts gives no n * n rows."""
+    rng = random.Random(8)
+    base = prose(rng, 100)
+    docs = [(i, " ".join(edited(rng, base, 1))) for i in range(80)]
+    seen = []
+    stored = neardup.stored
+
+    def counted(df, name, *codec):
+        out = stored(df, name, *codec)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 0)
+    check(spark, docs)
+    assert max(n for name, n in seen if name == "links") < 80 * neardup.M // neardup.ROWS
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 60), prose(rng, 40)
+    near = " ".join([*a[:-1], "other"])
+    a, b = " ".join(a), " ".join(b)
+    get = lambda rows: sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run(spark, rows)), key=str)
+    assert get([(1, a), (1, b), (2, near)]) == [(1, 36, 1, True), (1, 56, 1, True), (2, 56, 1, False)]
+    # texts of one doc_id do not join the groups of these texts
+    assert get([(1, a), (1, b), (3, a), (4, b), (0, near)]) == sorted(
+        [(1, 56, 0, False), (3, 56, 0, False), (0, 56, 0, True), (1, 36, 1, True), (4, 36, 1, False)], key=str
+    )
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, k string, _copy int")
+    kept = lambda rows: sorted(map(tuple, neardup.deduplicated(frame(rows)).collect()), key=str)
+    assert kept([(3, a, "p", 1), (5, near, "q", 2), (5, b, "r", 3)]) == [(3, a, "p", 1), (5, b, "r", 3)]
+    assert kept([(None, a, "p", 1), (None, a, "p", 1), (None, near, "p", 1)])[0][0] is None
+    assert len(kept([(None, a, "p", 1), (None, a, "p", 1), (None, near, "p", 1), (None, None, "p", 1), (7, " ", "p", 1)])) == 3
+    assert kept([(None, a, "p", 1), (9, near, "q", 2)]) == [(9, near, "q", 2)]
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = run(spark, [(1, text), (1, text), (None, text), (2, text), (3, None), (None, None)])
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=str)
-    assert got == sorted([(1, 1, True), (1, 1, True), (None, None, True), (2, 1, False), (3, 3, True), (None, None, True)], key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (None, 1, False), (2, 1, False), (3, 3, True), (None, None, True)], key=str)
     assert run(spark, []) == []
 
 
