@@ -1,19 +1,20 @@
 """A training corpus from ``documents`` in five stages; each gets all rows that the one before it kept.
 
 * toxicity: rows whose score reaches their language's threshold go.
-* near_dedup: one document of each group of near-duplicates stays, that of the smallest doc_id; rows that
-  repeat doc_id and text become one. Rows without doc_id stay.
+* near_dedup: one row of each group of near-duplicates stays, that of the smallest doc_id (none comes last).
+  Rows are judged by their text, also those that share a doc_id or have none; rows without words stay.
 * decontamination: documents that hold passages of ``benchmark`` go. A document's text decides, so that
   holds for rows without doc_id, too.
 * mixture: each row is there as often as the mix of sources takes it, up to three times or not at all.
-* sharding: every row gets shard and slot; all columns of ``documents`` are still there.
+* sharding: every row gets shard and slot; all columns of ``documents`` are still there, one that is called
+  shard or slot as ``shard_before`` or ``slot_before``.
 
 Empty tables, nulls, repeated rows and further columns, whatever their names, pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopweave.llm import decontam, mixing, neardup, sharding, toxicity
@@ -29,15 +30,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-
-    def keep(rows: DataFrame) -> DataFrame:
-        copies = Window.partitionBy("doc_id", "_text").orderBy("_text")
-        once = rows.join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
-        once = once.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_text", "_copy")
-        return once.unionByName(rows.filter("doc_id is null"))
-
-    return beside(docs, ("doc_id", "text"), keep)
+    return neardup.deduplicated(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +42,11 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return beside(docs, ("doc_id", "text", "source"), mixing.mix)
+    return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    place = lambda rows: sharding.numbered(sharding.assign(rows, sharding.Tree.even(SHARDS)))
+    place = lambda rows: sharding.sharded(rows, sharding.Tree.even(SHARDS))
     return beside(docs, ("doc_id", "text"), place, ("shard", "slot"))
 
 
