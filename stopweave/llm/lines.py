@@ -15,11 +15,11 @@ A group of one key needs no pairs: its earliest line is within one edit of all t
 one as partner. Partners are verified by edit distance on the lines themselves.
 
 All is SQL functions. Texts are read twice and never shuffled: the second time, lines are looked up in a
-bitmap of ``BITMAP`` words, 1 MB at any size, and only those it lets through are joined.
+bitmap (``store.let_through``), 1 MB at any size, and only those it lets through are joined.
 
-Nulls and ties: null and empty texts have no lines, empty lines do not count; rows without doc_id come first
-and form one document, as do rows that repeat a doc_id (then equal lines of equal number count as one
-occurrence that is kept in each).
+Nulls and ties: null and empty texts have no lines, empty lines do not count. Rows without doc_id come first;
+of rows that share a doc_id, or have none, the one whose text has the smaller hash comes first. Rows that repeat
+doc_id and text are one document, and what is kept in one of them is kept in each.
 """
 
 from __future__ import annotations
@@ -27,19 +27,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.store import stored
+from stopweave.llm.store import let_through, stored
 
 LEAST = 8
 STRETCH = 64
-BITMAP = 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, and the line's hash h1, h2."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """place (doc_id, hash of the text, line number), line, and the line's hash h1, h2."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("k"), lines)
     return rows.filter(F.col("line") != "").select(
-        "doc_id",
-        "line_no",
+        F.struct("doc_id", "k", "line_no").alias("place"),
         "line",
         F.xxhash64(F.lit(1), "line").alias("h1"),
         F.xxhash64(F.lit(2), "line").alias("h2"),
@@ -65,12 +64,8 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (h1, h2, first) with the line itself, read where it is first."""
-    word = lambda h: F.pmod(h, F.lit(BITMAP)).cast("int")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-    bitmap = wanted.groupBy(word(F.col("h1")).alias("_word")).agg(F.bit_or(bit(F.col("h1"))).alias("_bits"))
-    lines = _lines(docs).withColumn("_word", word(F.col("h1")))
-    near = lines.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(bit(F.col("h1"))) != 0)
-    near = near.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "line")
+    near = let_through(_lines(docs), "h1", wanted, "h1")
+    near = near.select("h1", "h2", F.col("place").alias("first"), "line")
     found = near.join(wanted.select("h1", "h2", "first"), ["h1", "h2", "first"])
     return found.dropDuplicates(["h1", "h2"])
 
@@ -143,42 +138,56 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, kind (``kept``, ``equal`` or ``near``) and partner, the earlier line's place, of every line."""
+    """place (doc_id, hash k of the text, line_no), kind (``kept``, ``equal`` or ``near``) and partner, the earlier line's
+    place, of every line."""
     lines = _lines(docs).withColumn("n", F.char_length("line")).withColumn("halves", _half_keys())
-    distinct = lines.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves")
-    )
+    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves"))
     distinct = stored(distinct, "distinct")
     near = near_lines(docs, distinct)
     known = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    rows = _lines(docs).select("doc_id", "line_no", "h1", "h2").join(known, ["h1", "h2"])
-    place = F.struct("doc_id", "line_no")
-    again = ~place.eqNullSafe(F.col("first"))
+    rows = _lines(docs).select("place", "h1", "h2").join(known, ["h1", "h2"])
+    again = ~F.col("place").eqNullSafe(F.col("first"))
     kind = F.when(again, "equal").when(F.col("partner").isNotNull(), "near").otherwise("kept")
-    return rows.select("doc_id", "line_no", kind.alias("kind"), F.when(again, F.col("first")).otherwise(F.col("partner")).alias("partner"))
-
+    return rows.select("place", kind.alias("kind"), F.when(again, F.col("first")).otherwise(F.col("partner")).alias("partner"))
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id and text, without the lines that are dropped, of every document that is not null."""
-    judged = judged_lines(docs).filter("kind <> 'kept'").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    kept = F.filter(numbered, lambda s: ~F.array_contains(gone, s["i"]))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(judged, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
-    return rows.select(F.col("_id").alias("doc_id"), F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("text"))
 
+def _applied(docs: DataFrame) -> DataFrame:
+    """doc_id, text without the lines that are dropped, and n_equal and n_near, how many these are, of every row.
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id and numbers of lines, of those equal to and those near an earlier one, and of those kept."""
-    counts = judged_lines(docs).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
+    Only texts that, by the bitmap, may lose lines are joined with what they lose.
+    """
+    gone = judged_lines(docs).filter("kind <> 'kept'").withColumn("_id", F.xxhash64("place.doc_id", "place.k"))
+    gone = gone.groupBy("_id", F.col("place.doc_id").alias("_doc"), F.col("place.k").alias("_k")).agg(
+        F.collect_set("place.line_no").alias("_gone"),
         F.count_if(F.col("kind") == "equal").alias("n_equal"),
         F.count_if(F.col("kind") == "near").alias("n_near"),
-        F.count_if(F.col("kind") == "kept").alias("n_kept"),
     )
-    none = docs.groupBy("doc_id").agg(*(F.lit(0).cast("long").alias(c) for c in counts.columns[1:]))
-    both = counts.unionByName(none).groupBy("doc_id")
-    return both.agg(*(F.max(c).alias(c) for c in counts.columns[1:]))
+    gone = stored(gone, "gone")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    rows = rows.withColumn("_id", F.xxhash64("doc_id", "k"))
+    same = (rows._id == gone._id) & rows.doc_id.eqNullSafe(gone._doc) & (rows.k == gone._k)
+    none = F.lit(0).cast("long")
+    lost = let_through(rows, "_id", gone, "_id").join(gone, same, "left")
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.filter(numbered, lambda s: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), s["i"]))
+    text = F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
+    lost = lost.select("doc_id", text.alias("text"), F.coalesce("n_equal", none).alias("n_equal"), F.coalesce("n_near", none).alias("n_near"))
+    whole = let_through(rows, "_id", gone, "_id", others=True).select("doc_id", "text", none.alias("n_equal"), none.alias("n_near"))
+    return lost.unionByName(whole)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id and text, without the lines that are dropped, of every row; a null text stays null."""
+    return _applied(docs).select("doc_id", "text")
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, numbers of lines, of those equal to and those near an earlier one, and of those kept, and the SHA-256 of
+    the text that is left, of every row."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x != "")
+    rows = _applied(docs).withColumn("n_kept", F.size(lines).cast("long"))
+    total = F.col("n_kept") + F.col("n_equal") + F.col("n_near")
+    return rows.select("doc_id", total.alias("n_lines"), "n_equal", "n_near", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = f"""
@@ -203,11 +212,13 @@ WITH lines AS (
          WHEN na > nb THEN len(list_filter(range(1, na + 1), lambda i: substr(a, 1, i - 1) || substr(a, i + 1) = b)) > 0
          ELSE len(list_filter(range(1, nb + 1), lambda i: substr(b, 1, i - 1) || substr(b, i + 1) = a)) > 0 END
 ), judged AS (
-  SELECT r.doc_id, CASE WHEN r.place <> f.place THEN 'equal' WHEN n.line IS NOT NULL THEN 'near' ELSE 'kept' END AS kind
+  SELECT r.doc_id, r.line, r.line_no, CASE WHEN r.place <> f.place THEN 'equal' WHEN n.line IS NOT NULL THEN 'near' ELSE 'kept' END AS kind
   FROM real r JOIN firsts f ON r.line = f.line LEFT JOIN near n ON r.line = n.line
+  UNION ALL SELECT doc_id, line, line_no, 'empty' FROM lines WHERE line = ''
 )
-SELECT d.doc_id, count(j.kind) AS n_lines, count(*) FILTER (kind = 'equal') AS n_equal,
-  count(*) FILTER (kind = 'near') AS n_near, count(*) FILTER (kind = 'kept') AS n_kept
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN judged j ON d.doc_id IS NOT DISTINCT FROM j.doc_id
+SELECT d.doc_id, count(*) FILTER (kind IN ('equal', 'near', 'kept')) AS n_lines, count(*) FILTER (kind = 'equal') AS n_equal,
+  count(*) FILTER (kind = 'near') AS n_near, count(*) FILTER (kind = 'kept') AS n_kept,
+  CASE WHEN any_value(d.there) THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kind IN ('kept', 'empty')), '')) END AS kept_sha256
+FROM (SELECT DISTINCT doc_id, text IS NOT NULL AS there FROM documents) d LEFT JOIN judged j ON d.doc_id IS NOT DISTINCT FROM j.doc_id
 GROUP BY d.doc_id
 """

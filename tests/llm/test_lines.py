@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -30,7 +31,7 @@ def frame(spark, docs):
 
 
 def check(spark, docs):
-    got = {(r.doc_id, r.line_no): r.kind for r in lines.judged_lines(frame(spark, docs)).collect()}
+    got = {(r.place.doc_id, r.place.line_no): r.kind for r in lines.judged_lines(frame(spark, docs)).collect()}
     want = naive(docs)
     assert got == want
     return want
@@ -74,10 +75,25 @@ def test_outputs(spark):
     rows = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, docs)).collect()}
     assert rows == {1: "The first line.\nother", 2: "more", 3: None, 4: ""}
     got = sorted(map(tuple, lines.digest(frame(spark, docs)).collect()))
-    assert got == [(1, 2, 0, 0, 2), (2, 3, 1, 1, 1), (3, 0, 0, 0, 0), (4, 1, 1, 0, 0)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [
+        (1, 2, 0, 0, 2, sha("The first line.\nother")), (2, 3, 1, 1, 1, sha("more")), (3, 0, 0, 0, 0, None), (4, 1, 1, 0, 0, sha("")),
+    ]
     assert lines.digest(frame(spark, [])).collect() == []
     repeated = lines.digest(frame(spark, [(1, "same line here")] * 3)).collect()
-    assert [tuple(r) for r in repeated] == [(1, 3, 0, 0, 3)]
+    assert [tuple(r) for r in repeated] == [(1, 1, 0, 0, 1, sha("same line here"))] * 3
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Rows are told apart by their text: none loses the lines of another."""
+    docs = [(1, "some thing\nshared line here"), (7, "shared line here\nother text zzzz"), (7, "keep me please qqqq\nsecond thing wwww")]
+    got = sorted(map(tuple, lines.deduplicated(frame(spark, docs)).collect()))
+    assert got == [(1, "some thing\nshared line here"), (7, "keep me please qqqq\nsecond thing wwww"), (7, "other text zzzz")]
+    none = [(None, "one line of text"), (None, "one line of text\nanother line of it"), (None, "a third document"), (4, "a third document")]
+    texts = sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(frame(spark, none)).collect())
+    kept = [x for _, t in texts for x in t.split("\n") if x]
+    assert sorted(kept) == ["a third document", "another line of it", "one line of text"] and texts[-1] == (4, "")
+    assert sum(r.n_kept for r in lines.digest(frame(spark, none)).collect()) == 3
 
 
 def test_real_tables(spark, sf_dir):
@@ -87,3 +103,5 @@ def test_real_tables(spark, sf_dir):
     got = sorted(map(tuple, lines.digest(docs).collect()))
     assert got == sorted(con.sql(lines.SQL).fetchall())
     assert sum(r[2] for r in got) > 0
+    texts = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    assert all(r[5] == hashlib.sha256(texts[r[0]].encode()).hexdigest() for r in got)
