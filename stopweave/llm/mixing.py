@@ -7,10 +7,14 @@ that order are alike in size, what a source takes misses its target by about one
 
 The prefix sum is built in three levels, none of which puts a source, a size or a group of copies into
 one task: rows are numbered within (source, size, salt), those groups are added up within (source, band
-of sizes), and the bands, at most some hundreds for any number of rows, within the source.
+of sizes), and the bands, at most some hundreds for any number of rows, within the source. A salt is the
+first bits of the hash that orders documents of one size, so the order is the same for any number of salts.
 
-Nulls and ties: a null source is a source of its own, after all others; a null text has size 0; equal
-rows are interchangeable. A source of size 0 has target 0 and takes nothing.
+Texts are read once for their sizes, which are stored; the mix reads them again to emit them.
+
+Nulls and ties: a null source is a source of its own, after all others; a null text has size 0; a document
+without doc_id is ordered by its text. Equal rows are interchangeable; of those that repeat more than
+``SALT_ROWS`` times one is numbered, and repeated at the end. A source of size 0 has target 0 and takes nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopweave.llm.store import ROW, attached, beside, keyed, repeated, split_hot, stored
+
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Most copies of a document.
@@ -63,46 +69,59 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int =
     )
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
-    """``docs`` and their size, source_size, target, and copies: how often the mix emits them."""
-    n = docs.count()
-    salts = 1 << max(6, math.ceil(math.log2(max(1, n / SALT_ROWS))))
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, ``ROW``, size, _key (the source), _order (32 bits of hash) and _band (of sizes) of every row, stored."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f"/{seed}"))
-    rows = docs.withColumns({"size": word_count(F.col("text")), "_key": key}).withColumns(
-        {
-            "_salt": (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % salts).cast("int"),
-            "_band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 32).cast("int"),
-        }
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("null")), F.lit(f"/{seed}"))
+    rows = keyed(docs).select(
+        "doc_id",
+        *ROW,
+        word_count(F.col("text")).alias("size"),
+        key.alias("_key"),
+        F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long").alias("_order"),
     )
-    groups = rows.groupBy("_key", "_band", "size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    bands = groups.groupBy("_key", "_band").agg(F.sum("_n").alias("_rows"), F.sum(F.col("_n") * F.col("size")).alias("_words"))
+    return stored(rows.withColumn("_band", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 32).cast("int")), "sizes")
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
+    """doc_id, ``store.ROW``, size, source_size, target and copies (how often the mix emits it) of every document."""
+    return _taken(_measured(docs, seed), weights, repeats, seed)
+
+
+def _taken(measured: DataFrame, weights: Sequence[float], repeats: int, seed: int) -> DataFrame:
+    n = measured.count()
+    bits = max(6, math.ceil(math.log2(max(1, n / SALT_ROWS))))
+    few, many = split_hot(measured, SALT_ROWS)
+    rows = few if many is None else few.unionByName(many)
+    rows = rows.withColumn("_salt", F.shiftright("_order", 32 - min(bits, 32)).cast("int"))
+    groups = rows.groupBy("_key", "_band", "size", "_salt").agg(F.sum("_times").alias("_n"))
+    bands = groups.groupBy("_key", "_band").agg(F.sum("_n").alias("_rows"))
     before_band = Window.partitionBy("_key").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.withColumn("_rows", F.coalesce(F.sum("_rows").over(before_band), F.lit(0))).drop("_words")
+    bands = bands.withColumn("_rows", F.coalesce(F.sum("_rows").over(before_band), F.lit(0)))
     before = Window.partitionBy("_key", "_band").orderBy("size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
         groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(bands, ["_key", "_band"])
         .select("_key", "_band", "size", "_salt", (F.col("_rows") + F.col("_before")).alias("_from"))
     )
-    sizes = rows.groupBy("_key").agg(F.sum("size").alias("source_size"))
+    sizes = measured.groupBy("_key").agg(F.sum("size").alias("source_size"))
     sizes = sizes.select(F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30)).alias("source"), "source_size")
     goal = targets(sizes, weights, repeats).select(
         F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("_key"),
         "source_size",
         "target",
     )
-    within = Window.partitionBy("_key", "_band", "size", "_salt").orderBy("doc_id")
-    ranked = rows.withColumn("_rank", F.row_number().over(within))
+    within = Window.partitionBy("_key", "_band", "size", "_salt").orderBy("_order", "doc_id", *ROW)
+    ranked = rows.withColumn("_rank", F.sum("_times").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_times"))
+    placed = ranked.join(begins, ["_key", "_band", "size", "_salt"]).withColumn("_place", F.col("_from") + F.col("_rank") + 1)
+    out = placed.filter("_times = 1")
+    if many is not None:
+        again = repeated(placed.filter("_times > 1"), SALT_ROWS)
+        out = out.unionByName(again.withColumn("_place", F.col("_place") + F.col("_again")).drop("_again"))
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_key"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("_from") + F.col("_rank")
-    return (
-        ranked.join(begins, ["_key", "_band", "size", "_salt"])
-        .join(goal, "_key")
-        .withColumn("copies", (F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset)).cast("long"))
-        .drop("_key", "_band", "_salt", "_rank", "_from")
-    )
+    emitted = F.floor(F.col("_place") * expected + offset) - F.floor((F.col("_place") - 1) * expected + offset)
+    return out.join(goal, "_key").select("doc_id", *ROW, "size", "source_size", "target", emitted.cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -113,8 +132,13 @@ def mix_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    rows = copies(docs, **options).filter(F.col("copies") > 0)
-    again = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*docs.columns)
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with all columns."""
+
+    def emit(rows: DataFrame) -> DataFrame:
+        measured = _measured(rows, seed)
+        taken = _taken(measured, weights, repeats, seed).filter(F.col("copies") > 0)
+        again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        return attached(rows, again, measured, [])
+
+    return beside(docs, ("doc_id", "text", "source"), emit)

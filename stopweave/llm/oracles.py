@@ -54,7 +54,8 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 _WEIGHTS = ", ".join(f"{w}e0" for w in mixing.WEIGHTS)
 
 MIX_SOURCES = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_BLANK})) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN md5(text) END AS text_md5,
+  len(regexp_extract_all(coalesce(text, ''), {_BLANK})) AS size FROM documents),
 sums AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
 weighed AS (SELECT *, [{_WEIGHTS}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS w,
   source_size * {mixing.REPEATS} AS cap FROM sums),
@@ -64,7 +65,7 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS
 final AS (SELECT source, source_size,
   least(cap::double, w * (SELECT level FROM levels WHERE cap / w >= level ORDER BY cap / w, level LIMIT 1)) AS target FROM levels),
 placed AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size,
-  ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '/0'), 1, 8))::bigint % 64, doc_id) AS place,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, text_md5, 'null') || '/0'), 1, 8))::bigint, doc_id) AS place,
   (('0x' || substr(md5('0/' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END), 1, 12))::bigint + 0.5e0) / 281474976710656e0 AS shift FROM d)
 SELECT doc_id, size, source_size, target,
   (floor(place * (target / nullif(source_size, 0)) + shift) - floor((place - 1) * (target / nullif(source_size, 0)) + shift))::bigint * size AS taken

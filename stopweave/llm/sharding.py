@@ -10,7 +10,8 @@ so every document that moves goes into it. All is built from SQL functions; a le
 per child, and no row is shuffled until slots are numbered.
 
 Nulls and ties: a null doc_id hashes as the text ``null``; a null text counts no bytes and has
-checksum 0. Repeated rows get the same shard and different slots.
+checksum 0. Repeated rows get the same shard and different slots. Slots follow a hash of the whole row, so
+reruns agree; rows equal in all columns are interchangeable, and where they are many they are numbered as one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopweave.llm.store import ROW, attached, keyed, repeated, split_hot, stored
+
 ROW_BYTES = 16
 #: Rows of a shard that are numbered by one task.
 SLOT_ROWS = 50_000
@@ -50,8 +53,7 @@ class Tree:
 
 def _uniform(key: Column, path: Column) -> Column:
     """A number in (0, 1) from 52 bits of the hash of key and path."""
-    digits = F.substring(F.md5(F.concat(key, F.lit("/"), path)), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
+    return (F.shiftrightunsigned(F.xxhash64(path, key), 12).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
 def _descend(key: Column, path: Column, weights: Column) -> Column:
@@ -107,32 +109,44 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     return rows.drop("_key")
 
 
-def numbered(rows: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``rows`` and their slot: 0, 1, ... within each shard, without a task that holds a whole shard.
+def numbered(slim: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``slim``, rows with ``store.ROW`` and shard, and their slot: 0, 1, ... within each shard, without a task that
+    holds a whole shard.
 
-    A shard is cut into buckets by a hash of the row's identity; a bucket begins where the counts
-    of those before it add up to. The counts are shards x buckets rows.
+    A shard is cut into buckets by a hash of the whole row; a bucket begins where the counts of those before it
+    add up to. The counts are shards x buckets rows. Of rows that repeat more than ``SLOT_ROWS`` times one is
+    counted and numbered, and repeated at the end.
     """
+    few, many = split_hot(slim, SLOT_ROWS)
     if buckets is None:
-        n = rows.count()
+        n = slim.count()
         buckets = 1 << max(3, math.ceil(math.log2(max(1, n / SLOT_ROWS))))
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    rows = few if many is None else few.unionByName(many)
+    rows = rows.withColumn("_bucket", F.pmod(ROW[0], F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_times").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within))
-    return (
-        ranked.join(begins, ["shard", "_bucket"])
-        .withColumn("slot", (F.col("_from") + F.col("_rank") - 1).cast("long"))
-        .drop("_bucket", "_from", "_rank")
-    )
+    within = Window.partitionBy("shard", "_bucket").orderBy(*ROW).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_rank", F.sum("_times").over(within) - F.col("_times"))
+    placed = ranked.join(begins, ["shard", "_bucket"]).withColumn("slot", (F.col("_from") + F.col("_rank")).cast("long"))
+    out = placed.filter("_times = 1")
+    if many is not None:
+        again = repeated(placed.filter("_times > 1"), SLOT_ROWS)
+        out = out.unionByName(again.withColumn("slot", F.col("slot") + F.col("_again")).drop("_again"))
+    return out.drop("_bucket", "_from", "_rank", "_times")
+
+
+def sharded(docs: DataFrame, tree: Tree) -> DataFrame:
+    """``docs`` and their shard and slot. Only hashes and numbers are sorted; texts move once, to their slots."""
+    slim = assign(keyed(docs), tree).select(*ROW, "shard")
+    slim = stored(slim, "placed")
+    return attached(docs, numbered(slim), slim, ["shard", "slot"])
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
     tree = Tree.even(shards)
-    rows = assign(docs.select("doc_id", "text"), tree, tree.grown()).drop("text")
-    return numbered(rows).select(
+    rows = assign(keyed(docs.select("doc_id", "text")), tree, tree.grown()).drop("text")
+    return numbered(stored(rows, "placed")).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

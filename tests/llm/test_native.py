@@ -94,3 +94,72 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs).columns == docs.columns
     equal = [(1, "a b c", "s")] * 500
     assert sum(r.taken for r in mixing.mix_report(frame(spark, equal)).collect()) == 1500
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Rows that repeat more often than a task numbers are numbered as one, and come out as often as before."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    monkeypatch.setattr(mixing, "SALT_ROWS", 10)
+    rows = [(1, "same text", "s")] * 95 + [(None, "no id", "s")] * 31 + [(i, f"text {i}", "s") for i in range(2, 60)] + [(2, "text 2", "s")]
+    got = sharding.shard_documents(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text_crc32) for r in got) == sorted((d or 0, zlib.crc32(t.encode())) for d, t, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    full = sharding.sharded(frame(spark, rows).select("doc_id", "text"), sharding.Tree.even(40)).collect()
+    assert sorted((r.doc_id or 0, r.shard, r.slot) for r in full) == sorted((r.doc_id or 0, r.shard, r.slot) for r in got)
+    assert sorted((r.doc_id or 0, r.text) for r in full) == sorted((d or 0, t) for d, t, _ in rows)
+
+    report = mixing.mix_report(frame(spark, rows)).collect()
+    assert len(report) == len(rows) and sum(r.taken for r in report) == sum(r["size"] for r in report)
+    monkeypatch.setattr(mixing, "SALT_ROWS", 10_000)
+    plain = mixing.mix_report(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.taken) for r in report) == sorted((r.doc_id or 0, r.taken) for r in plain)
+    rows = [(d, t, "t" if i % 7 else "s") for i, (d, t, _) in enumerate(rows)]
+    report = mixing.mix_report(frame(spark, rows)).collect()
+    times = defaultdict(int)
+    for r in report:
+        times[r.doc_id] += r.taken // r["size"]
+    emitted = defaultdict(int)
+    for r in mixing.mix(frame(spark, rows)).collect():
+        emitted[r.doc_id] += 1
+    assert emitted == {d: n for d, n in times.items() if n}
+
+
+def test_rows_without_doc_id(spark):
+    """Rows of one source and size that have no doc_id are dealt out by their texts."""
+    rows = [(None, f"text{i}", "s") for i in range(200)]
+    orders = {r._order for r in mixing._measured(frame(spark, rows), 0).collect()}
+    assert len(orders) == 200
+    assert sum(r.taken for r in mixing.mix_report(frame(spark, rows)).collect()) == 200
+
+
+def draw(key, path):
+    from pyspark.sql import functions as F
+
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(path), F.lit(key)), 12).cast("double") + 0.5) / 2.0**52
+
+
+def test_shards_against_plain_draws(spark):
+    """Each document descends to the child with the smallest -ln(u) / weight, level by level."""
+    tree = sharding.Tree((((1.0, 2.0), (3.0,)), ((4.0, 0.0, 1.0),)))
+    ids = list(range(60))
+    got = {r.doc_id: r.shard for r in sharding.assign(frame(spark, [(i, "", "") for i in ids]).drop("shard"), tree).collect()}
+    paths = ["r.0", "r.1", "k0.0", "k0.1", "k1.0", "s0.0", "s0.1", "s1.0", "s2.0", "s2.1", "s2.2"]
+    columns = [draw(str(i), p).alias(f"u{i}_{n}") for i in ids for n, p in enumerate(paths)]
+    us = list(spark.range(1).select(*columns).first())
+
+    def smallest(weights, u):
+        values = [-math.log(x) / w if w else math.inf for w, x in zip(weights, u, strict=True)]
+        return values.index(min(values))
+
+    for i in ids:
+        u = dict(zip(paths, us[i * len(paths) : (i + 1) * len(paths)], strict=True))
+        region = smallest([6.0, 5.0], [u["r.0"], u["r.1"]])
+        if region == 0:
+            rack = smallest([3.0, 3.0], [u["k0.0"], u["k0.1"]])
+            want = smallest([1.0, 2.0], [u["s0.0"], u["s0.1"]]) if rack == 0 else 2
+        else:
+            want = 3 + smallest([4.0, 0.0, 1.0], [u["s2.0"], u["s2.1"], u["s2.2"]])
+        assert got[i] == want

@@ -59,3 +59,19 @@ def test_odd_rows_pass(spark, sf_dir):
             if name == "decontamination":
                 assert step.count() == n
         assert (step.count() > 0) == (n > 0)
+
+
+def test_columns_that_are_called_shard_and_slot(spark, sf_dir):
+    docs = spark.createDataFrame([(i, f"text {i}", "mine", -i) for i in range(30)], "doc_id long, text string, shard string, slot int")
+    out = corpus_pipeline.shards(spark, docs, sf_dir)
+    assert out.columns == ["doc_id", "text", "shard_before", "slot_before", "shard", "slot"]
+    rows = out.collect()
+    assert sorted((r.doc_id, r.shard_before, r.slot_before) for r in rows) == [(i, "mine", -i) for i in range(30)]
+    assert {r.shard for r in rows} <= set(range(40))
+
+
+def test_near_dedup_judges_rows_by_text(spark, sf_dir):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, "c " * 9)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()}
+    assert kept == {(3, a), (5, b), (None, "c " * 9)}
