@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopweave.functions.polyline import frechet, segments
@@ -54,10 +54,35 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def mean_of_feeds(summaries: DataFrame) -> DataFrame:
+    """The mean of each number over the rows, one for every feed, of :func:`summary`."""
+    names = [c for c in summaries.columns if c != "feed"]
+    return summaries.agg(F.count(F.lit(1)).alias("n_feeds"), *(F.avg(c).alias(c) for c in names))
+
+
+def length_differences(truth: DataFrame, test: DataFrame, by: str = "trip_id") -> DataFrame:
+    """``by`` and the difference of lengths (by, len) of what both sides have, absolute and as a share of the true one."""
+    both = truth.join(test.select(by, F.col("len").alias("_test")), by)
+    diff = F.abs(F.col("_test") - F.col("len"))
+    return both.select(by, diff.alias("diff"), F.when(F.col("len") > 0, diff / F.col("len")).alias("share"))
+
+
+def placed_stops(points: DataFrame, stops: DataFrame, by: str = "trip_id") -> DataFrame:
+    """by, n, lat, lon: where a line (by, seq, lat, lon, dist) is at the distances of its stops (by, n, at).
+
+    A stop lies between the last point that is not behind it and the next one; beyond the end, at the end.
+    """
+    w = Window.partitionBy(by).orderBy("seq")
+    ahead = {f"_{c}": F.lead(c).over(w) for c in ("lat", "lon", "dist")}
+    rows = points.withColumns(ahead).withColumn("_end", F.coalesce("_dist", F.lit(float("inf"))))
+    inside = (F.col("at") >= F.col("dist")) & (F.col("at") < F.col("_end"))
+    part = F.when(F.col("_dist") > F.col("dist"), (F.col("at") - F.col("dist")) / (F.col("_dist") - F.col("dist"))).otherwise(0.0)
+    on = lambda c: F.coalesce(F.col(c) + part * (F.col(f"_{c}") - F.col(c)), F.col(c)).alias(c)
+    return stops.join(rows, by).filter(inside).select(by, "n", on("lat"), on("lon"))
+
+
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The value at place n div 2 (from 0) of each group in order: of two middle ones, the upper."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by)
     ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
     return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2)).select(by, F.col(value).alias("median"))

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopweave.functions.costs import INFINITE, quantized
+from stopweave.functions.costs import INFINITE, added, quantized
 
 
 @functools.cache
@@ -141,6 +141,68 @@ def turn_rules(restrictions: DataFrame, edges: DataFrame) -> DataFrame:
     return judged.filter(F.when(F.col("_only"), ~F.col("_named")).otherwise(F.col("_banned"))).select("from_eid", "to_eid")
 
 
+def turn_costs(edges: DataFrame, banned: DataFrame | None, full_turn: int, angle: float, restricted: int, circles: DataFrame | None = None) -> DataFrame:
+    """Dear turns: from_eid, to_eid, cost. A full turn goes back where one came from or, where more than two ways leave,
+    turns by an ``angle`` (degrees between the ways) below the limit; a ban (from_eid, to_eid) costs ``restricted``.
+
+    ``edges``: eid, src, dst, lat1, lon1, lat2, lon2. At turning circles (nid) no turn is dear.
+    """
+    from stopweave.functions.geo import turn_angle
+
+    come = edges.select(F.col("eid").alias("from_eid"), F.col("src").alias("a"), F.col("dst").alias("via"), "lat1", "lon1", "lat2", "lon2")
+    ways = edges.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("_ways"))
+    go = edges.select(F.col("eid").alias("to_eid"), F.col("src").alias("via"), F.col("dst").alias("b"), F.col("lat2").alias("lat3"), F.col("lon2").alias("lon3"))
+    rows = come.join(go, "via").join(ways, "via")
+    if circles is not None:
+        rows = rows.join(circles.select(F.col("nid").alias("via")), "via", "left_anti")
+    sharp = turn_angle(F.col("lon2"), F.col("lat2"), F.col("lon1"), F.col("lat1"), F.col("lon3"), F.col("lat3")) < angle
+    full = (F.col("a") == F.col("b")) | ((F.col("_ways") > 2) & F.coalesce(sharp, F.lit(False)))
+    rows = rows.withColumn("_turn", F.when(full, F.lit(full_turn)).otherwise(F.lit(0)).cast("long"))
+    if banned is None:
+        rows = rows.withColumn("_ban", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(banned.withColumn("_ban", F.lit(restricted).cast("long")), ["from_eid", "to_eid"], "left")
+    return rows.select("from_eid", "to_eid", added(F.col("_turn"), F.coalesce("_ban", F.lit(0))).alias("cost")).filter("cost > 0")
+
+
+def directed_chains(edges: DataFrame) -> DataFrame:
+    """eid and chain of every edge (eid, src, dst, oneway): edges that follow one another where two ways leave a node, not
+    back where one came from and not against a one-way street, are one chain."""
+    ways = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2").select(F.col("src").alias("via"))
+    open_ = edges.filter("oneway <> 2")
+    first = open_.select(F.col("eid").alias("e1"), F.col("src").alias("a"), F.col("dst").alias("via"))
+    second = open_.select(F.col("eid").alias("e2"), F.col("src").alias("via"), F.col("dst").alias("b"))
+    links = first.join(second, "via").join(ways, "via", "left_semi").filter("a <> b")
+    chains = components(links.select(F.col("e1").alias("src"), F.col("e2").alias("dst"))).withColumnsRenamed({"nid": "eid", "comp": "chain"})
+    return edges.select("eid").join(chains, "eid", "left").withColumn("chain", F.coalesce("chain", "eid"))
+
+
+def node_keys(edges: DataFrame, no_hup: DataFrame) -> DataFrame:
+    """way, pos, src, dst as text: nodes (nid) of ``no_hup`` are another node on each way that visits them."""
+    out = edges
+    for end, step in (("src", 0), ("dst", 1)):
+        out = out.join(no_hup.select(F.col("nid").alias(end), F.lit(True).alias("_no")), end, "left")
+        own = F.concat_ws("/", F.col(end).cast("string"), F.col("way").cast("string"), (F.col("pos") + step).cast("string"))
+        out = out.withColumn(end, F.when(F.col("_no"), own).otherwise(F.col(end).cast("string"))).drop("_no")
+    return out.select("way", "pos", "src", "dst")
+
+
+def station_tracks(stations: DataFrame, edges: DataFrame) -> DataFrame:
+    """nid and track of every station (nid, track): its own or, where it is empty, the smallest of its edges' (src, dst, track)."""
+    ends = edges.filter("track is not null and track <> ''")
+    ends = ends.select(F.col("src").alias("nid"), "track").unionByName(ends.select(F.col("dst").alias("nid"), "track"))
+    near = ends.groupBy("nid").agg(F.min("track").alias("_t"))
+    own = F.nullif(F.col("track"), F.lit(""))
+    return stations.join(near, "nid", "left").select("nid", F.coalesce(own, "_t").alias("track"))
+
+
+def component_speeds(edges: DataFrame, comps: DataFrame, speeds: list[float], correction: float = 1.0) -> DataFrame:
+    """comp and max_speed, the fastest level (lvl of edges: src, dst) in it, over the correction factor."""
+    speed = F.element_at(F.array(*[F.lit(float(s)) for s in speeds]), F.col("lvl") + 1)
+    rows = edges.join(comps.withColumnRenamed("nid", "src"), "src")
+    return rows.groupBy("comp").agg((F.max(speed) / correction).alias("max_speed"))
+
+
 def net_graph(hops: DataFrame) -> DataFrame:
     """Use of each edge (eid) by trips (trip_id, route): number of trips and the routes' names."""
     return hops.groupBy("eid").agg(F.countDistinct("trip_id").alias("n_trips"), F.array_sort(F.collect_set("route")).alias("routes"))

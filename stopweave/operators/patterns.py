@@ -42,6 +42,18 @@ def trie(stop_times: DataFrame) -> DataFrame:
     )
 
 
+def mean_times(stop_times: DataFrame) -> DataFrame:
+    """pattern, pos, n_trips and the mean arr_s and dep_s since the first departure, truncated, of the trips of a pattern.
+
+    ``stop_times``: pattern, trip_id, pos (from 0), arr_s, dep_s; a missing time counts as the other one.
+    """
+    arr, dep = F.coalesce("arr_s", "dep_s"), F.coalesce("dep_s", "arr_s")
+    start = F.min(F.struct("pos", dep.alias("d"))).over(Window.partitionBy("pattern", "trip_id"))["d"]
+    rows = stop_times.withColumns({"_a": arr - start, "_d": dep - start})
+    mean = lambda c: F.floor(F.sum(c) / F.count(c)).cast("long")
+    return rows.groupBy("pattern", "pos").agg(F.count(F.lit(1)).alias("n_trips"), mean("_a").alias("arr_s"), mean("_d").alias("dep_s"))
+
+
 def routing_attributes(trips: DataFrame, routes: DataFrame, stop_times: DataFrame) -> DataFrame:
     """Trips by where they start and their short name: line_from, short_name, n_trips, n_line_to."""
     ends = stop_times.groupBy("trip_id").agg(

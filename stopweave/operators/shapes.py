@@ -54,6 +54,13 @@ def split_routes(trips: DataFrame) -> DataFrame:
     return trips.join(colors, ["route_id", "color"]).select("trip_id", name.alias("route_id"), "color")
 
 
+def split_fares(fare_rules: DataFrame, parts: DataFrame) -> DataFrame:
+    """Fare rules, and those of each route once more for every new route (new_id) that it was split into (route_id)."""
+    new = parts.filter(F.col("new_id") != F.col("route_id").cast("string")).distinct()
+    copies = fare_rules.join(new, "route_id").withColumn("route_id", F.col("new_id")).select(*fare_rules.columns)
+    return fare_rules.withColumn("route_id", F.col("route_id").cast("string")).unionByName(copies)
+
+
 def updated_stop_times(stop_times: DataFrame, measured: DataFrame) -> DataFrame:
     """stop_times with shape_dist_traveled overwritten where ``measured`` (trip_id, seq, dist) has one."""
     rows = stop_times.join(measured.select("trip_id", "seq", "dist"), ["trip_id", "seq"], "left")

@@ -51,6 +51,25 @@ def write_geojson(features: DataFrame, path: str) -> None:
         f.write("\n]}\n")
 
 
+def graph_features(edges: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """GeoJSON features of a routing graph: a line for every edge, a point for every station."""
+    ends = F.array(*(F.struct(F.col(f"lat{n}").alias("lat"), F.col(f"lon{n}").alias("lon")) for n in (1, 2)))
+    about = [c for c in ("eid", "src", "dst", "lvl", "oneway", "cost", "lines") if c in edges.columns]
+    rows = edges.select(feature(ends, F.struct(*about)).alias("feature"))
+    if stations is None:
+        return rows
+    place = F.array(F.struct("lat", "lon"))
+    named = F.struct(F.col("nid"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "track")))
+    return rows.unionByName(stations.select(feature(place, named, "Point").alias("feature")))
+
+
+def trie_dot(nodes: DataFrame) -> DataFrame:
+    """Lines of a DOT graph of a prefix trie (prefix, parent, n_trips)."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\\\$1"), F.lit('"'))
+    line = F.concat(quoted(F.col("parent")), F.lit(" -> "), quoted(F.col("prefix")), F.lit(' [label="'), F.col("n_trips").cast("string"), F.lit('"];'))
+    return nodes.select(line.alias("line"))
+
+
 def run_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row: sizes of the tables that a run made, as ``num_<name>``."""
     counts = [df.agg(F.count(F.lit(1)).alias(f"num_{name}")) for name, df in tables.items()]

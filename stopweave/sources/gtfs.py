@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 import os
 import shutil
 import tempfile
@@ -114,18 +113,26 @@ def write(feed: Mapping[str, DataFrame], path: str) -> None:
                 out.writerow(["" if v is None else v for v in row])
         os.replace(part, f"{folder}/{name}.txt")
     if folder != path:
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
             for name in sorted(os.listdir(folder)):
                 z.write(f"{folder}/{name}", name)
-        with open(f"{path}.part", "wb") as f:
-            f.write(packed.getvalue())
         os.replace(f"{path}.part", path)
         shutil.rmtree(folder)
 
 
-def with_shapes(feed: Mapping[str, DataFrame], shapes: DataFrame, used: DataFrame) -> dict[str, DataFrame]:
-    """The feed with new shapes: trips refer to them (``used``: trip_id, shape_id), old ones without a trip are gone."""
+#: Who made the map, as attributions name it (fixed values).
+MAP_NAME, MAP_URL = "OpenStreetMap contributors", "https://www.openstreetmap.org/copyright"
+
+
+def with_shapes(
+    feed: Mapping[str, DataFrame], shapes: DataFrame, used: DataFrame, stop_dists: DataFrame | None = None, attribution: bool = True
+) -> dict[str, DataFrame]:
+    """The feed with new shapes: trips refer to them (``used``: trip_id, shape_id), old ones without a trip are gone.
+
+    ``stop_dists`` (trip_id, seq, dist) go into stop_times, and the map's makers into attributions.
+    """
+    from stopweave.operators.shapes import updated_stop_times, with_attribution
+
     out = dict(feed)
     new = used.withColumnRenamed("shape_id", "_new")
     trips = feed["trips"].join(new, "trip_id", "left")
@@ -135,6 +142,45 @@ def with_shapes(feed: Mapping[str, DataFrame], shapes: DataFrame, used: DataFram
         old = feed["shapes"].join(out["trips"].select("shape_id"), "shape_id", "left_semi")
         shapes = old.unionByName(shapes, allowMissingColumns=True)
     out["shapes"] = shapes
+    if stop_dists is not None:
+        st = feed["stop_times"]
+        if "shape_dist_traveled" not in st.columns:
+            st = st.withColumn("shape_dist_traveled", F.lit(None).cast("double"))
+        columns = st.columns
+        st = updated_stop_times(st.withColumn("seq", F.col("stop_sequence").cast("long")), stop_dists)
+        out["stop_times"] = st.select(*columns)
+    if attribution:
+        had = feed.get("attributions")
+        if had is None:
+            had = shapes.sparkSession.createDataFrame([], "organization_name string, is_producer string, attribution_url string")
+        out["attributions"] = with_attribution(had, MAP_NAME, MAP_URL)
     if "feed_info" in out:
         out["feed_info"] = out["feed_info"].filter("feed_publisher_name <> '' and feed_publisher_url <> ''")
     return out
+
+
+def with_colors(feed: Mapping[str, DataFrame], colors: DataFrame) -> dict[str, DataFrame]:
+    """The feed with routes in the colours (trip_id, color) of their trips; a route of several colours is split.
+
+    Trips of the first colour, or of none, stay with the route; others get a copy of it with its fares.
+    """
+    from stopweave.functions.text import text_color
+    from stopweave.operators.shapes import split_fares, split_routes
+
+    out = dict(feed)
+    routes, trips = feed["routes"], feed["trips"]
+    split = split_routes(trips.select("trip_id", "route_id").join(colors, "trip_id"))
+    split = split.select("trip_id", F.col("route_id").alias("_route"), "color")
+    parts = trips.join(split, "trip_id").groupBy("route_id", "_route").agg(F.first("color").alias("color"))
+    hexed = lambda c: F.format_string("%06X", c)
+    columns = [*routes.columns, *(c for c in ("route_color", "route_text_color") if c not in routes.columns)]
+    rows = routes.join(parts, "route_id").drop("route_color", "route_text_color").withColumns(
+        {"route_id": F.col("_route"), "route_color": hexed(F.col("color")), "route_text_color": hexed(text_color(F.col("color")))}
+    )
+    kept = routes.join(parts.select(F.col("_route").alias("route_id")), "route_id", "left_anti")
+    out["routes"] = rows.select(*columns).unionByName(kept, allowMissingColumns=True)
+    moved = trips.join(split.drop("color"), "trip_id", "left").withColumn("route_id", F.coalesce("_route", "route_id"))
+    out["trips"] = moved.select(*trips.columns)
+    if "fare_rules" in feed and "route_id" in feed["fare_rules"].columns:
+        out["fare_rules"] = split_fares(feed["fare_rules"], parts.select("route_id", F.col("_route").alias("new_id")))
+    return out

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from stopweave.functions import text
@@ -10,10 +11,12 @@ CFG = """
 [rail, bus]
 osm_filter_keep: highway=bus_stop|no_match_ways
   route=bus|rel_flat,psv=yes|mult_val_match
-osm_station_name_norm: ' st. ' -> ' saint '; ([a-z])-([a-z]) -> \\1 \\2
+station_normalize_chain: ' st. ' -> ' saint '; ([a-z])-([a-z]) -> \\1 \\2
+  ' # ' -> ' no; '; # a comment
+osm_lvl0_avg_speed: 36 # km/h
 [bus]
 osm_filter_drop: access=private  # not ours
-osm_node_station_name_attrs: [public_transport=stop_area]name name
+osm_station_name_attrs: [public_transport=stop_area]name name
 [coach]
 osm_filter_keep: highway=bus_stop|no_match_ways
 """
@@ -24,12 +27,62 @@ def test_config():
     found = {m.modes: m for m in config.modes(parsed)}
     assert set(found) == {("rail",), ("bus",), ("coach",)}
     bus = found["bus",]
+    bus = bus.options
+    assert bus.speeds[0] == 36 * 0.2777 and bus.speeds[1] == 70 * 0.2777
     assert Rule("route", "bus", rules.FLAT) in bus.keep and Rule("psv", "yes", rules.MULTI) in bus.keep
     assert bus.station_names == (("name", Rule("public_transport", "stop_area")), ("name", None))
-    assert bus.normalizer == ((" st. ", " saint "), ("([a-z])-([a-z])", "\\1 \\2"))
-    assert found["coach",].levels[1] == (Rule("highway", "primary"),)
+    assert bus.station_chain == ((" st. ", " saint "), ("([a-z])-([a-z])", "\\1 \\2"), (" # ", " no; "))
+    assert found["coach",].options.levels[1] == (Rule("highway", "primary"),)
     assert len(config.modes(config.parse("[a, b]\nosm_filter_keep: x=y\n"))) == 1
-    assert config.speeds(["36 72"]) == [10, 20]
+    with pytest.raises(ValueError, match="osm_filter_kep"):
+        config.modes(config.parse("[a]\nosm_filter_kep: x=y\n"))
+
+
+ALL_KEYS = """
+[rail]
+osm_filter_keep:
+\trailway=rail
+\trailway:switch=*|no_match_ways
+osm_line_relation_tags:
+\tline_name=ref,name
+\tfrom_name=from
+\tto_name=to
+\tline_color=colour
+osm_node_negative_restriction: restriction=no_left_turn
+osm_node_positive_restriction: restriction=only_left_turn
+osm_filter_no_restriction: except=bus|mult_val_match
+osm_filter_station: railway=station
+osm_max_snap_distance: 200
+osm_max_snap_level: 2
+osm_max_osm_station_distance: 7, 15
+osm_one_way_speed_penalty_fac: 5
+osm_one_way_entry_cost: 300
+routing_full_turn_penalty: 180
+routing_full_turn_angle: 100
+routing_line_unmatched_time_penalty_fac: 1.2
+routing_line_station_from_unmatched_time_penalty: 1.05
+routing_line_station_to_unmatched_time_penalty: 1.1
+routing_non_station_penalty: 0.4
+routing_platform_unmatched_penalty: 0.1
+routing_transition_method: timenorm
+station_similarity_classification_method: ed
+routing_use_stations: no
+"""
+
+
+def test_all_options():
+    o = config.options(config.parse(ALL_KEYS)["rail"])
+    assert Rule("railway:switch", "*", rules.SKIP_WAY) in o.keep and o.line_name == (("ref", None), ("name", None))
+    assert o.line_from == (("from", None),) and o.line_to == (("to", None),) and o.line_color == (("colour", None),)
+    assert o.restrict_no and o.restrict_only and o.restrict_exempt and o.stations == (Rule("railway", "station"),)
+    assert (o.snap_m, o.max_snap_level, o.osm_station_m, o.station_reach) == (200, 2, (7, 15), 400)
+    assert (o.wrong_way_factor, o.restricted, o.full_turn_s, o.full_turn_angle) == (5, 30_000, 180, 100)
+    assert o.factors == (1.2, 1.05, 1.1) and o.station_pen == 0.2 and o.platform_pen == 0.1
+    assert (o.transition_method, o.similarity, o.use_stations) == ("timenorm", "ed", False)
+    old = config.options(config.parse("[b]\nosm_filter_keep: a=b\nrouting_one_way_meter_punish_fac: 4\nrouting_lvl1_fac: 2\n")["b"])
+    assert old.wrong_way_factor == 5 and old.speeds[1] == 42.5 * 0.2777 and old.factors == (1, 1, 1)
+    with pytest.raises(ValueError, match="none of"):
+        config.options({"routing_emission_method": ["x"]})
 
 
 def frame(spark, rows, schema):

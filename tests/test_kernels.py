@@ -91,3 +91,73 @@ def test_names():
 def test_best_subsequence_takes_all_words():
     words = " ".join(f"w{i}" for i in range(14))
     assert text.best_subsequence(f"{words} central station", "central station") == 1.0
+
+
+def grid(n, seed):
+    """A grid of streets, both ways, with costs that are at least a second for 10 m."""
+    rng = np.random.default_rng(seed)
+    places = {(x, y): (47 + y * 0.001, 8 + x * 0.001) for x in range(n) for y in range(n)}
+    edges = {}
+    for x, y in places:
+        for to in ((x + 1, y), (x, y + 1)):
+            if to in places:
+                metres = routing._metres(places[x, y], places[to])
+                for a, b in (((x, y), to), (to, (x, y))):
+                    edges[len(edges)] = (a, b, int(np.ceil(metres / 10 * 10 * rng.uniform(1, 3))))
+    return edges, places
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_searches_agree(seed):
+    """Fast, plain and directed hops choose the same, whatever the candidates cost so far; forbidden turns count."""
+    edges, places = grid(7, seed)
+    rng = np.random.default_rng(100 + seed)
+    ids = list(edges)
+    turns = {(a, b): routing.INFINITE if rng.random() < 0.5 else 50 for a in ids for b in ids if edges[a][1] == edges[b][0] and rng.random() < 0.2}
+    plain, directed = routing.Graph(edges, turns), routing.Graph(edges, turns, places, 10.0)
+    c = routing.Candidate
+    layers = [[c(int(e), float(rng.random()), float(rng.random() * 40)) for e in rng.choice(ids, 5)] for _ in range(4)]
+    for bound in (150, 400, 2000):
+        results = [routing.match(g, layers, [bound] * 3, 0.0083, fast, p := []) + (p,) for g in (plain, directed) for fast in (False, True)]
+        assert all(r[0] == pytest.approx(results[0][0]) for r in results)
+        for (total, chosen, paths), g in zip(results, (plain, plain, directed, directed), strict=True):
+            for k, path in enumerate(paths):
+                a, b = layers[k][chosen[k]], layers[k + 1][chosen[k + 1]]
+                if path:
+                    assert path[0] == a.eid and path[-1] == b.eid
+                    assert all(edges[x][1] == edges[y][0] and turns.get((x, y), 0) < routing.INFINITE for x, y in zip(path, path[1:], strict=False))
+
+
+def test_bound_is_for_the_path_alone():
+    """What candidates cost so far does not widen a search."""
+    edges = {n: (n, n + 1, 100) for n in range(1000)}
+    g = routing.Graph(edges)
+    met = []
+    g = g.priced(lambda e, cost: met.append(e) or cost)
+    assert routing.fast_hops(g, [(0, 0), (500, 0)], [(3, 0)], 350, [0, 40], 0.0083) == {(0, 0): 300}
+    assert len(met) < 20
+
+
+def test_mismatches():
+    assert routing.mismatched(101, 0, (1.2, 1.1, 1.05)) == 140  # 121.2, 133.1, 139.65
+    assert routing.mismatched(101, 7, (1.2, 1.1, 1.05)) == 101
+    assert routing.mismatched(101, 0, (1.0, 1.1, 1.05)) == 101
+    assert routing.mismatched(101, 1, (0.5, 0.5, 1.0)) == 51
+    assert routing.best_bits([1, 6, 4]) == 6 and routing.best_bits([]) == 0
+
+
+def test_lines_and_turns_of_patterns(spark):
+    """Two ways from 1 to 4: the trip's line, a forbidden turn and a large graph's components decide."""
+    edges = [(12, 1, 2, 100, None), (24, 2, 4, 100, None), (13, 1, 3, 110, [7]), (34, 3, 4, 110, [7]), (45, 4, 5, 10, [7]), (1, 0, 1, 10, [7])]
+    e = spark.createDataFrame(edges, "eid long, src long, dst long, cost long, lines array<long>")
+    rows = [("p", 0, 0, 1, 0.0, 0.0, 0), ("p", 1, 0, 45, 0.5, 0.0, 9999)]
+    cands = spark.createDataFrame(rows, "pattern string, pos long, cand long, eid long, progr double, pen double, bound long")
+    path = lambda c, e, **x: routing.match_patterns(c, e, **x).filter("pos = 1").first().path
+    assert path(cands, e) == [1, 12, 24, 45]
+    like = cands.selectExpr("*", "array(struct(7L as line, 7 as bits)) as like")
+    assert path(like, e, factors=(1.2, 1.1, 1.05)) == [1, 13, 34, 45]
+    banned = spark.createDataFrame([(12, 24)], "from_eid long, to_eid long")
+    one = lambda t: t.selectExpr("*", "1 as comp")
+    assert path(cands, e, turns=banned) == path(one(cands), one(e), turns=banned) == [1, 13, 34, 45]
+    dear = banned.selectExpr("*", "15L as cost")
+    assert path(cands, e, turns=dear) == [1, 12, 24, 45]
