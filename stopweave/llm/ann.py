@@ -34,7 +34,8 @@ from stopweave.llm.store import small_batches, stored
 BOOKS, WORDS, BEAM = 16, 256, 6
 #: Vectors that codebooks are fitted on, at most.
 TRAIN, ROUNDS = 8192, 1
-SHORT = 128
+#: Rows of a partition that are scored exactly for each query.
+SHORT = 256
 QUERIES, BATCH = 4096, 4096
 QUERY_EVERY, K = 20, 20
 
@@ -166,8 +167,8 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, Codebooks | None]:
     return stored(good.mapInArrow(encode, INDEX), "codes"), books
 
 
-def _shortlist(approx: np.ndarray, size: int) -> np.ndarray:
-    """Columns of each row's largest values; of equal values the first ones (columns ascend by id)."""
+def _shortlist(approx: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """Columns of each row's largest values; of equal values those of the smallest ids."""
     n = approx.shape[1]
     if n <= size:
         return np.tile(np.arange(n), (len(approx), 1))
@@ -175,50 +176,63 @@ def _shortlist(approx: np.ndarray, size: int) -> np.ndarray:
     least = np.take_along_axis(approx, best, 1).min(1)
     for q in np.flatnonzero((approx >= least[:, None]).sum(1) > size):
         above = np.flatnonzero(approx[q] > least[q])
-        best[q] = np.r_[above, np.flatnonzero(approx[q] == least[q])[: size - len(above)]]
+        equal = np.flatnonzero(approx[q] == least[q])
+        best[q] = np.r_[above, equal[np.argsort(ids[q, equal], kind="stable")[: size - len(above)]]]
     return best
 
 
 def _scan(books: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
-    """Keeps, over the batches of a partition, the k best rows for each query."""
+    """The k best rows of a partition for each query: those that score best by their codes are kept over all of its
+    batches, and their vectors with them; at its end these, and no others, are scored exactly."""
     table = (queries @ books.words.T).astype(np.float32)
-    lengths = (queries**2).sum(1)
+    n, size = len(ids), SHORT
+    blocks = [slice(at, at + 256) for at in range(0, n, 256)]
+
+    def scored(codes: np.ndarray, norm: np.ndarray, rows: slice) -> np.ndarray:
+        approx = table[rows][:, codes[:, 0]]
+        for m in range(1, books.books):
+            approx += table[rows][:, codes[:, m]]
+        return 2 * approx - norm if metric == "l2" else approx
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_s, top_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        held_id, held = np.zeros(0, np.int64), None
+        top_s, top_i = np.zeros((n, 0), np.float32), np.zeros((n, 0), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                vec_id = part.column(0).to_numpy()
-                order = np.argsort(vec_id, kind="stable")
-                vec_id = vec_id[order]
+                vec_id, vectors = part.column(0).to_numpy(), _matrix(part.column(3))
                 _, data = tv.bytes_of(part.column(1))
-                codes = data.reshape(len(order), -1)[order] + np.arange(books.books) * books.size
-                norm = part.column(2).to_numpy()[order]
-                vectors = _matrix(part.column(3))[order]
-                for at in range(0, len(ids), 256):
-                    rows = slice(at, at + 256)
-                    approx = table[rows][:, codes[:, 0]]
-                    for m in range(1, books.books):
-                        approx += table[rows][:, codes[:, m]]
-                    if metric == "l2":
-                        approx = 2 * approx - norm
+                codes = data.reshape(len(vec_id), -1) + np.arange(books.books) * books.size
+                norm = part.column(2).to_numpy()
+                held_id = np.r_[held_id, vec_id]
+                held = vectors if held is None else np.concatenate([held, vectors])
+                new = np.arange(len(held_id) - len(vec_id), len(held_id))
+                best_s, best_i = [], []
+                for rows in blocks:
+                    approx = scored(codes, norm, rows)
                     approx[ids[rows, None] == vec_id] = -np.inf
-                    short = _shortlist(approx, SHORT)
-                    near = vectors[short]
-                    exact = np.einsum("qrd,qd->qr", near, queries[rows])
-                    if metric == "l2":
-                        exact = 2 * exact - (near**2).sum(2) - lengths[rows, None]
-                    exact[ids[rows, None] == vec_id[short]] = -np.inf
-                    s = np.concatenate([top_s[rows], exact], 1)
-                    i = np.concatenate([top_i[rows], vec_id[short]], 1)
-                    keep = np.lexsort((i, -s))[:, :k]
-                    top_s[rows], top_i[rows] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        found = np.isfinite(top_s)
-        query = np.repeat(ids[:, None], k, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query[found]), pa.array(top_i[found]), pa.array(top_s[found])], ["query_id", "vec_id", "score"]
-        )
+                    s = np.concatenate([top_s[rows], approx], 1)
+                    i = np.concatenate([top_i[rows], np.broadcast_to(new, approx.shape)], 1)
+                    keep = _shortlist(s, held_id[i], size)
+                    best_s.append(np.take_along_axis(s, keep, 1))
+                    best_i.append(np.take_along_axis(i, keep, 1))
+                top_s, top_i = np.concatenate(best_s), np.concatenate(best_i)
+                used = np.zeros(len(held_id), bool)
+                used[top_i] = True
+                held_id, held, top_i = held_id[used], held[used], (np.cumsum(used) - 1)[top_i]
+        if held is None:
+            return
+        for rows in blocks:
+            near, vec_id = held[top_i[rows]], held_id[top_i[rows]]
+            exact = np.einsum("qrd,qd->qr", near, queries[rows])
+            if metric == "l2":
+                exact = 2 * exact - (near**2).sum(2) - (queries[rows] ** 2).sum(1)[:, None]
+            exact[top_s[rows] == -np.inf] = -np.inf
+            keep = np.lexsort((vec_id, -exact))[:, :k]
+            s, i = np.take_along_axis(exact, keep, 1), np.take_along_axis(vec_id, keep, 1)
+            found = np.isfinite(s)
+            query = np.broadcast_to(ids[rows, None], s.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(query[found]), pa.array(i[found]), pa.array(s[found])], ["query_id", "vec_id", "score"])
 
     return run
 
