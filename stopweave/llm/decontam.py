@@ -38,7 +38,7 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of text in a segment, and of test items in a broadcast.
 SEGMENT_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Possible starts that are intersected at once.
 AT_ONCE = 1 << 20
 
@@ -168,29 +168,43 @@ class Segment:
 
 @dataclass
 class Block:
-    """Phrases of some test items, as a rectangle of term hashes."""
+    """Phrases of some test items: hashes of all their words, and for each phrase its first word, length and item."""
 
-    terms: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     item: np.ndarray
     ids: list[str]
+    window: int
+
+    @property
+    def terms(self) -> np.ndarray:
+        """A rectangle of term hashes, 0 beyond the end of short phrases."""
+        places = np.arange(self.window)
+        terms = self.words[self.starts[:, None] + places]
+        terms[places >= self.lengths[:, None]] = 0
+        return terms
 
     @staticmethod
     def of(items: Sequence[tuple[object, str]], window: int) -> Block:
         text = pa.array([t or "" for _, t in items], pa.large_string())
         offsets, data = tv.bytes_of(text)
         words = tv.split_words(tv.LOWER[data], offsets, tv.ALNUM)
-        hashes = np.append(words.hashes(), np.zeros(window, np.uint64))
+        hashes = words.hashes()
         counts = words.counts
         whole = tv.gram_starts(words.first, window)
         short = np.flatnonzero((counts > 0) & (counts < window))
+        item = np.searchsorted(words.first, whole, "right") - 1
+        # of an item's equal phrases one; by two hashes of the phrase, as a loss would be one of a phrase
+        names = [tv.gram_hashes(hashes, window, base)[whole] for base in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)] if len(whole) else []
+        if len(whole):
+            order = np.lexsort((*names, item))
+            new = np.r_[True, (item[order][1:] != item[order][:-1]) | np.any([x[order][1:] != x[order][:-1] for x in names], axis=0)]
+            whole, item = whole[order][new], item[order][new]
         starts = np.r_[whole, words.first[short]]
         lengths = np.r_[np.full(len(whole), window), counts[short]]
-        item = np.searchsorted(words.first, starts, "right") - 1
-        terms = hashes[starts[:, None] + np.arange(window)]
-        terms[np.arange(window) >= lengths[:, None]] = 0
-        _, once = np.unique(np.c_[terms, lengths.astype(np.uint64), item.astype(np.uint64)], axis=0, return_index=True)
-        return Block(terms[once], lengths[once], item[once], [str(i) for i, _ in items])
+        padded = np.append(hashes, np.zeros(window, np.uint64))
+        return Block(padded, starts, lengths, np.r_[item, short], [str(i) for i, _ in items], window)
 
 
 def blocks(items: DataFrame, window: int) -> Iterator[Block]:
@@ -205,15 +219,17 @@ def blocks(items: DataFrame, window: int) -> Iterator[Block]:
 
 
 def phrase_hits(index: DataFrame, block: Block) -> DataFrame:
-    """Texts with occurrences of the block's phrases: words hit, as ranges in the text, and the items' ids."""
+    """Texts with occurrences of the block's phrases: words hit, as ranges in the text, and the items' ids. Stored, so that
+    the block's broadcast ends with it."""
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
+        terms = block.terms
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment.read(row)
-                q, start = segment.phrases(block.terms, block.lengths)
+                q, start = segment.phrases(terms, block.lengths)
                 text = np.searchsorted(segment.first, start, "right") - 1
                 out = []
                 for t in np.unique(text):
@@ -226,7 +242,9 @@ def phrase_hits(index: DataFrame, block: Block) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _HITS)
 
-    return index.select("segment", "first", "terms", "begins", "postings").mapInArrow(match, HITS)
+    found = stored(index.select("segment", "first", "terms", "begins", "postings").mapInArrow(match, HITS), "hits")
+    shared.destroy()
+    return found
 
 
 _SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
