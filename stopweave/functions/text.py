@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 
 def java_replacement(text: str) -> str:
@@ -91,56 +89,38 @@ def edit_same(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(True)).otherwise(1 - F.levenshtein(a, b) / longest > 0.85)
 
 
-def prefix_distance(a: str, b: str) -> int:
+def prefix_distance(a: Column, b: Column) -> Column:
     """Least number of edits from a to a prefix of b."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return min(row)
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.length(b)), lambda n: F.levenshtein(a, F.substring(b, F.lit(1), n))))
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def best_subsequence(a: str, b: str) -> float:
-    """Best edit similarity of a run of words of one name with the other name."""
-
-    def runs(text: str) -> Iterable[str]:
-        words = re.findall(r"\w+", text)
-        return {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
-
-    best = 0.0
-    for x, y in ((a, b), (b, a)):
-        for run in runs(x):
-            best = max(best, 1 - edit_distance(run, y) / max(len(run), len(y), 1))
-    return best
+def prefix_same(a: Column | str, b: Column | str) -> Column:
+    """1 - the smaller prefix edit distance, relative to the name that is matched whole, above 0.875."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    one = lambda x, y: prefix_distance(x, y) / F.greatest(F.length(x), F.lit(1))
+    return 1 - F.least(one(a, b), one(b, a)) > 0.875
 
 
-@F.pandas_udf(BooleanType())
-def prefix_same(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 - the smaller prefix edit distance, relative to the name that is matched whole, above 0.875."""
+def word_runs(name: Column) -> Column:
+    """All runs of words of a name that follow one another, each once."""
+    words = F.regexp_extract_all(name, F.lit(r"(?U)(\w+)"))
+    n = F.size(words)
+    ends = lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), ends)))
+    return F.when(n > 0, runs).when(n == 0, F.array().cast("array<string>"))
 
-    def one(x: str | None, y: str | None) -> bool | None:
-        if x is None or y is None:
-            return None
-        return 1 - min(prefix_distance(x, y) / max(len(x), 1), prefix_distance(y, x) / max(len(y), 1)) > 0.875
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+def best_subsequence(a: Column, b: Column) -> Column:
+    """Best edit similarity of a run of words of one name with the other name; 0 without words."""
+    like = lambda run, y: 1 - F.levenshtein(run, y) / F.greatest(F.length(run), F.length(y), F.lit(1))
+    best = lambda x, y: F.array_max(F.transform(word_runs(x), lambda run: like(run, y)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.greatest(best(a, b), best(b, a)), F.lit(0.0)))
 
 
-@F.pandas_udf(BooleanType())
-def subsequence_same(a: pd.Series, b: pd.Series) -> pd.Series:
+def subsequence_same(a: Column | str, b: Column | str) -> Column:
     """Best similarity of a run of words above 0.85."""
-    both = zip(a, b, strict=True)
-    return pd.Series([None if x is None or y is None else best_subsequence(x, y) > 0.85 for x, y in both], dtype="object")
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return best_subsequence(a, b) > 0.85
 
 
 #: The sixteen colour names of HTML 4 (fixed values).

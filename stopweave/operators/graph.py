@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopweave.functions.costs import INFINITE, added, quantized
@@ -18,11 +19,24 @@ def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="stopweave-")
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
+    return f"{(base or _own()).rstrip('/')}/stopweave/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all nodes see, for files written by the driver; on a cluster it has to be mounted."""
+    path = f"{_base(spark)}/files-{uuid.uuid4().hex}"
+    os.makedirs(path.removeprefix("file:"), exist_ok=True)
+    return path
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all nodes share, and read again: lineage ends here."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
-    path = f"{base.rstrip('/')}/stopweave/{name}-{uuid.uuid4().hex}"
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,18 +100,19 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes: a number of rounds that grows with the
     logarithm of the number of nodes, not with a component's diameter. Nothing is collected.
     """
+    edges = _written(edges.select("src", "dst").distinct(), "links")
     nodes = edges.select(F.col("src").alias("nid")).unionByName(edges.select(F.col("dst").alias("nid"))).distinct()
-    now = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    now = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        if mark == before or not mark[0]:
             break
         before = mark
     return nodes.join(now.select(F.col("u").alias("nid"), F.col("v").alias("comp")), "nid", "left").select(

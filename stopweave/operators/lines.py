@@ -48,36 +48,40 @@ def way_lines(relations: DataFrame, lines: DataFrame) -> DataFrame:
     return both.agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _words(column: str, kind: int) -> Column:
-    """The words a name can share with a similar one, and the name itself."""
-    whole = F.array(F.col(column))
-    words = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(text.tokens(F.col(column)), whole)))
-    return F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+def _similar_names(ours: DataFrame, theirs: DataFrame, same) -> DataFrame:
+    """name and other: names (n) that are ``same``, found through a word they share or as a whole, each pair once."""
+
+    def words(names: DataFrame, out: str) -> DataFrame:
+        own = F.array_distinct(F.concat(text.tokens(F.col("n")), F.array("n")))
+        return names.filter("n <> ''").distinct().select(F.col("n").alias(out), F.explode(own).alias("w"))
+
+    pairs = words(ours, "name").join(words(theirs, "other"), "w").select("name", "other").distinct()
+    return pairs.filter(same(F.col("other"), F.col("name")))
 
 
 def resemblance(attrs: DataFrame, lines: DataFrame) -> DataFrame:
     """``key`` of attrs (key, short_name, line_from, line_to; empty: unknown) and like, an array of (line, bits).
 
-    Bits tell whether name, from and to are similar. Only lines that share a word with the trip are looked at; all others
-    have the bits of line 0: what the trip itself does not know. A trip that knows nothing has null.
+    Bits tell whether name, from and to are similar. Names are compared once however many trips and lines have them, and
+    only lines that share something with the trip are named; all others have the bits of line 0: what the trip itself
+    does not know. A trip that knows nothing has null.
     """
-    ours = attrs.withColumn("w", F.explode(F.concat(_words("short_name", NAME), _words("line_from", FROM), _words("line_to", TO))))
-    theirs = lines.select("line", "short_name", "from_str", "to_str", F.explode(
-        F.concat(_words("short_name", NAME), _words("from_str", FROM), _words("to_str", TO))).alias("w"))
-    named = theirs.select("line", F.col("short_name").alias("n"), F.col("from_str").alias("f"), F.col("to_str").alias("t"), "w")
-    pairs = ours.join(named, "w").select("key", "short_name", "line_from", "line_to", "line", "n", "f", "t").distinct()
-    bit = lambda own, same, n: F.when((F.col(own) == "") | same, n).otherwise(0)
-    bits = (
-        bit("short_name", text.line_similar(F.col("n"), F.col("short_name")), NAME)
-        + bit("line_from", text.jaccard_same(F.col("f"), F.col("line_from")), FROM)
-        + bit("line_to", text.jaccard_same(F.col("t"), F.col("line_to")), TO)
-    )
-    like = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", bits.cast("long").alias("bits")))).alias("_like"))
-    unknown = sum((F.when(F.col(c) == "", n).otherwise(0) for c, n in (("short_name", NAME), ("line_from", FROM), ("line_to", TO))), F.lit(0))
-    rows = attrs.join(like, "key", "left")
-    base = F.array(F.struct(F.lit(0).cast("long").alias("line"), unknown.cast("long").alias("bits")))
-    known = (F.col("short_name") != "") | (F.col("line_from") != "") | (F.col("line_to") != "")
-    return rows.select("key", F.when(known, F.concat(base, F.coalesce("_like", F.array().cast("array<struct<line:bigint,bits:bigint>>")))).alias("like"))
+    kinds = (("short_name", "short_name", text.line_similar, NAME), ("line_from", "from_str", text.jaccard_same, FROM), ("line_to", "to_str", text.jaccard_same, TO))
+    shared = None
+    for ours, theirs, same, bit in kinds:
+        pairs = _similar_names(attrs.select(F.col(ours).alias("n")), lines.select(F.col(theirs).alias("n")), same)
+        one = attrs.select("key", F.col(ours).alias("name")).join(pairs, "name").join(lines.select("line", F.col(theirs).alias("other")), "other")
+        one = one.select("key", "line", F.lit(bit).alias("bit"))
+        shared = one if shared is None else shared.unionByName(one)
+    unknown = sum((F.when(F.col(c) == "", bit).otherwise(0) for c, _, _, bit in kinds), F.lit(0)).cast("long")
+    rows = attrs.withColumn("_base", unknown)
+    named = shared.groupBy("key", "line").agg(F.sum("bit").alias("bits"))
+    bits = F.collect_list(F.struct("line", "bits"))
+    rows = rows.join(named.groupBy("key").agg(F.array_sort(bits).alias("_like")), "key", "left")
+    none = F.array().cast("array<struct<line:bigint,bits:bigint>>")
+    like = F.transform(F.coalesce("_like", none), lambda x: F.struct(x["line"].alias("line"), (x["bits"] + F.col("_base")).alias("bits")))
+    base = F.array(F.struct(F.lit(0).cast("long").alias("line"), F.col("_base").alias("bits")))
+    return rows.select("key", F.when(F.col("_base") < NAME + FROM + TO, F.concat(base, like)).alias("like"))
 
 
 def best_similarity(edge_lines: DataFrame, like: DataFrame) -> DataFrame:

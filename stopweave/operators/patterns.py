@@ -72,3 +72,17 @@ def entrances_to_parents(stops: DataFrame) -> DataFrame:
     rows = stops.join(parents, "parent_station", "left")
     is_entrance = (F.col("location_type") == 2) & F.col("_there").isNotNull()
     return rows.select("stop_id", F.when(is_entrance, F.col("parent_station")).otherwise(F.col("stop_id")).alias("resolved"))
+
+
+def distinct_hops(stop_times: DataFrame, attribute: str) -> DataFrame:
+    """before, stop_id, the attribute and how many trips pass: pairs that are searched once for all of them."""
+    order = Window.partitionBy("trip_id").orderBy("seq")
+    rows = stop_times.withColumn("before", F.lag("stop_id").over(order)).filter("before is not null")
+    return rows.groupBy("before", "stop_id", attribute).agg(F.countDistinct("trip_id").alias("n_trips"))
+
+
+def time_expanded(cands: DataFrame, steps: int = 0, step_s: int = 30) -> DataFrame:
+    """Candidates (time_s) at their time and at so many later ones; the square of five minutes' shares is their penalty."""
+    late = F.explode(F.sequence(F.lit(0), F.lit(steps)))
+    rows = cands.withColumn("_n", late)
+    return rows.withColumn("time_s", F.col("time_s") + F.col("_n") * step_s).withColumn("time_pen", F.pow(F.col("_n") * step_s / 300, 2)).drop("_n")

@@ -215,6 +215,7 @@ def match(feed: Tables, tables: Tables, options: Options | None = None, modes: s
     trips = st.groupBy("trip_id", "route_id", "short_name").agg(ordered.alias("at"))
     ids = F.transform("at", lambda s: s["stop_id"])
     trips = trips.withColumn("pattern", F.sha2(F.to_json(F.struct(ids.alias("s"), F.col("short_name").alias("n"))), 256))
+    trips = graph._written(trips, "trips")
     times = trips.select("pattern", "trip_id", F.posexplode("at").alias("pos", "s")).select(
         "pattern", "trip_id", F.col("pos").cast("long").alias("pos"), F.col("s.seq").alias("seq"), "s.arr_s", "s.dep_s"
     )
@@ -222,12 +223,14 @@ def match(feed: Tables, tables: Tables, options: Options | None = None, modes: s
     positions = distinct.select("pattern", F.posexplode("stops").alias("pos", "stop_id"))
     positions = positions.withColumn("pos", F.col("pos").cast("long")).join(stops, "stop_id").join(patterns.mean_times(times), ["pattern", "pos"])
     edges, known = with_lines(road_graph(tables, options), tables, options)
+    edges = graph._written(edges, "edges")
     w = Window.partitionBy("pattern").orderBy("pos")
     crow = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     planned = (F.col("arr_s") - F.lag("dep_s").over(w)).cast("double")
     located = positions.withColumns({"_crow": crow, "planned_s": F.coalesce(planned, F.lit(0.0))})
     bound = costs.max_hop_cost(F.greatest("planned_s", F.col("_crow") / options.top_speed), *options.factors)
     located = located.withColumn("bound", F.when(F.col("_crow").isNull(), 0).otherwise(bound).cast("long"))
+    located = graph._written(located, "located")
     found = stations(tables, edges, options) if options.use_stations and options.stations else None
     cands = located.join(stop_candidates(stops, edges, options, found), "stop_id")
     none = located.withColumns({"cand": F.lit(0).cast("long"), "eid": F.lit(None).cast("long"), "progr": F.lit(0.0), "pen": F.lit(0.0)})

@@ -214,18 +214,13 @@ def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE links AS (SELECT src, dst FROM {edges} WHERE cost % 29 < 2),
-both_ways AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
-reach AS (SELECT a AS nid, a AS other FROM both_ways UNION SELECT r.nid, b.b FROM reach r JOIN both_ways b ON r.other = b.a)
-SELECT nid, min(other) AS comp FROM reach GROUP BY nid"""
+WITH RECURSIVE links AS (SELECT src AS a, dst AS b FROM {edges} UNION SELECT dst, src FROM {edges}), nodes AS (SELECT DISTINCT a AS nid FROM links),
+cc(nid, comp) USING KEY (nid) AS (
+  SELECT nid, nid FROM nodes
+  UNION SELECT l.b, min(c.comp) FROM cc c JOIN links l ON c.nid = l.a JOIN recurring.cc o ON o.nid = l.b WHERE c.comp < o.comp GROUP BY l.b)
+SELECT nid, comp FROM cc"""
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`components_all` on the edges that its oracle has."""
-    return graph.components(view(spark, d, "edges").filter("cost % 29 < 2").select("src", "dst"))
-
-
-@query()
-def components_all(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(view(spark, d, "edges").select("src", "dst"))
 
 
@@ -267,21 +262,28 @@ def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     return text.normalise_names(view(spark, d, "stops"), "stop_name", chain, "name").select("stop_id", "name")
 
 
+#: Stops whose names are compared: those within some kilometres.
+_NEAR_M = 15_000
+
+
 def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = view(spark, d, "stops").select("stop_id", F.lower("stop_name").alias("name"), "zone", "lat", "lon")
-    o = s.select(*[F.col(c).alias(f"{c}_r") for c in s.columns])
-    return s.join(o, (F.col("zone") == F.col("zone_r")) & (F.col("stop_id") < F.col("stop_id_r")))
+    s = view(spark, d, "stops").select("stop_id", F.lower("stop_name").alias("name"), "lat", "lon")
+    return spatial.within_radius(s, s, _NEAR_M, 50).filter("stop_id < stop_id_r").drop("dist")
 
 
-_PAIRS = """
-WITH named AS (SELECT stop_id, lower(stop_name) AS name, zone, lat, lon FROM {stops}),
+_NAMED_PAIRS = f"""
+WITH named AS (SELECT stop_id, lower(stop_name) AS name, lat, lon FROM {{stops}}),
 pairs AS (SELECT a.stop_id, b.stop_id AS stop_id_r, a.name, b.name AS name_r, a.lat, a.lon, b.lat AS lat_r, b.lon AS lon_r
-  FROM named a JOIN named b ON a.zone = b.zone AND a.stop_id < b.stop_id),
-worded AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda t: t <> '')) AS t,
+  FROM named a JOIN named b ON a.stop_id < b.stop_id AND abs(a.lat - b.lat) < 0.2e0 AND abs(a.lon - b.lon) < 0.3e0 WHERE {_hav("a.lat", "a.lon", "b.lat", "b.lon")} <= {_NEAR_M})
+"""
+_PAIRS = (
+    _NAMED_PAIRS
+    + """, worded AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda t: t <> '')) AS t,
   list_distinct(list_filter(regexp_split_to_array(name_r, '[^a-z0-9]+'), lambda t: t <> '')) AS t_r FROM pairs),
 scored AS (SELECT *, len(list_intersect(t, t_r)) / cast(len(list_distinct(list_concat(t, t_r))) AS double) AS j,
   levenshtein(name, name_r) AS ed, greatest(length(name), length(name_r)) AS longest FROM worded)
 """
+)
 
 
 @query(
@@ -303,13 +305,6 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
-def name_similarity_kernels(spark: SparkSession, d: str) -> DataFrame:
-    """Prefix edit distance and best run of words; compared with plain versions in tests."""
-    p = _name_pairs(spark, d)
-    return p.select("stop_id", "stop_id_r", text.prefix_same("name", "name_r").alias("prefix"), text.subsequence_same("name", "name_r").alias("run"))
-
-
 @query(
     """
 SELECT route_id, color, cast(CASE WHEN sqrt((pow((color // 65536) % 256, 2) + pow((color // 256) % 256, 2) + pow(color % 256, 2)) / 3) < 140 THEN 16777215 ELSE 0 END AS int) AS text_color,
@@ -454,7 +449,7 @@ def hop_weights(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
 WITH RECURSIVE cand AS (SELECT trip_id, seq, k, (stop_id * 7 + k * 13) % 50 AS off, (stop_id * 3 + k * 5) % 20 AS pen
-  FROM {stop_times}, (SELECT unnest([0, 1, 2]) AS k) ks WHERE trip_id % 10 = 0),
+  FROM {stop_times}, (SELECT unnest([0, 1, 2]) AS k) ks),
 best AS (SELECT trip_id, seq, k, off, pen AS cost FROM cand WHERE seq = 1
   UNION ALL SELECT c.trip_id, c.seq, c.k, c.off, min(b.cost + abs(c.off - b.off)) + c.pen FROM best b JOIN cand c ON c.trip_id = b.trip_id AND c.seq = b.seq + 1
   GROUP BY c.trip_id, c.seq, c.k, c.off, c.pen),
@@ -462,12 +457,6 @@ ends AS (SELECT trip_id, max(seq) AS seq FROM cand GROUP BY trip_id)
 SELECT trip_id, min(cost) AS cost FROM best JOIN ends USING (trip_id, seq) GROUP BY trip_id"""
 )
 def viterbi_match(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`viterbi_match_all` on the tenth of the trips that its oracle has."""
-    return _least_costs(view(spark, d, "stop_times").filter("trip_id % 10 = 0"))
-
-
-@query()
-def viterbi_match_all(spark: SparkSession, d: str) -> DataFrame:
     """Least cost of every trip through three candidates a stop; only derived candidates are synthetic."""
     return _least_costs(view(spark, d, "stop_times"))
 

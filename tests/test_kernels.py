@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stopweave.functions import polyline, text
 from stopweave.operators import routing
@@ -81,10 +82,34 @@ def test_polylines():
     assert [c.tolist() for c in cut] == [[[0, 0], [0, 1], [0, 1.5]], [[0, 1.5], [0, 2], [1, 2]]]
 
 
-def test_names():
-    assert text.prefix_distance("haupt", "hauptbahnhof") == 0
-    assert text.edit_distance("kitten", "sitting") == 3
-    assert text.best_subsequence("freiburg central station", "central station") == 1.0
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row
+
+
+def test_names(spark):
+    names = ["haupt", "hauptbahnhof", "old town central station", "central station", "kitten", "sitting", "", "  ", "a b c d e f g h i j k l m n", "l m n", "ñ ü"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    rows = pairs.select("a", "b", text.prefix_distance(F.col("a"), F.col("b")), text.best_subsequence(F.col("a"), F.col("b"))).collect()
+
+    def best(a, b):
+        found = [0.0]
+        for x, y in ((a, b), (b, a)):
+            w = x.split()
+            runs = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+            found += [1 - edits(r, y)[-1] / max(len(r), len(y), 1) for r in runs]
+        return max(found)
+
+    for a, b, prefix, run in rows:
+        assert prefix == min(edits(a, b)) and run == pytest.approx(best(a, b)), (a, b)
+    assert {(r[0], r[1]): r[3] for r in rows}["a b c d e f g h i j k l m n", "l m n"] == 1.0
+
+
+def test_replacements():
     assert text.java_replacement(r"\1 & $x\.") == "$1 $0 \\$x."
 
 
