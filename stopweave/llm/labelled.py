@@ -24,14 +24,16 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_c
     """At most ``per_class`` documents of each label that may be learnt from: doc_id, text, lang and label.
 
     The ids drawn are broadcast, at most ``2 * per_class`` of them, so no text is shuffled.
-    A document labelled twice counts with its larger label.
+    A document labelled twice counts with its larger label, and of rows that repeat a doc_id the smallest text.
     """
     known = labels.filter(learn & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
     order = F.xxhash64("doc_id", F.lit(seed))
     drawn = [known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
-    return docs.select("doc_id", "text", "lang").join(ids, "doc_id")
+    rows = docs.select("doc_id", "text", "lang").join(ids, "doc_id")
+    once = rows.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "label")).alias("_r"))
+    return once.select("doc_id", "_r.text", "_r.lang", "_r.label")
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[dict]], object], order: tuple[str, str] = ("doc_id", "text")) -> object:

@@ -15,7 +15,9 @@ was not fitted on.
 Trusted positives are rows labelled 1 outside the held-out fold; rows labelled 0 are not used. Unlabelled
 texts are documents without any label. Of either, at most ``SAMPLE`` are taken, by a hash of their id, and
 only their features are collected. Nulls and ties: a null text is empty and gets a score like any other;
-without positives or without unlabelled texts all scores are the prior, 0.5.
+without positives or without unlabelled texts all scores are the prior, 0.5. A document that is labelled both 0 and
+1 is a trusted positive. Rows without doc_id are never learnt from and get a score; rows that repeat a doc_id get one
+score each, and of their texts the one of the smallest features is learnt from.
 """
 
 from __future__ import annotations
@@ -205,7 +207,7 @@ def _matrix(docs: DataFrame, ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), values], ["doc_id", "x"])
 
     rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, x array<double>").collect()
+    found = rows.mapInArrow(run, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     return np.array([r.x for r in sorted(found)] or np.zeros((0, FEATURES)))
 
 

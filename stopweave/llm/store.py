@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that all nodes share.
 
 A table written here cuts lineage and outlives lost executors. The folder is the one
-that ``spark.checkpoint.dir`` names; a session without the setting (tests, a laptop)
-gets a temporary one.
+that ``spark.checkpoint.dir`` names; a local session without the setting (tests, a laptop)
+gets a temporary one, any other an error. Operators delete what only their steps need;
+what a lazy result still reads stays until :func:`sweep`, or whoever owns the folder,
+deletes the application's part of it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
     return (path or _own()).rstrip("/")
 
 

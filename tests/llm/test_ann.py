@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from conftest import DATA
 from stopweave.llm import ann
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
@@ -64,6 +65,31 @@ def test_recall(spark, sf_dir, monkeypatch):
     assert np.mean(hit) >= 0.9
 
 
+def test_recall_at_size(spark):
+    """Some 50,000 vectors in a few partitions: the share of the 20 nearest that is found, against all inner products."""
+    path = DATA / "check_l" / "embeddings.parquet"
+    if not path.exists():
+        pytest.skip("no table of this size")
+    table = spark.read.parquet(str(path))
+    rows = {r.vec_id: r.embedding for r in ann.usable(table).selectExpr("vec_id", "vector as embedding").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    got = {}
+    for r in ann.neighbours(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = np.flatnonzero(ids % 20 == 0)
+    assert len(ids) > 50_000 and set(got) == set(ids[queries].tolist())
+    hits = []
+    for at in range(0, len(queries), 256):
+        some = queries[at : at + 256]
+        scores = x[some] @ x.T
+        scores[np.arange(len(some)), some] = -np.inf
+        near = np.argpartition(scores, -20, 1)[:, -20:]
+        hits += [len(got[ids[q]] & set(ids[n].tolist())) / 20 for q, n in zip(some, near, strict=True)]
+    print("recall", np.mean(hits))
+    assert np.mean(hits) >= 0.95
+
+
 def test_codes_add_up():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))

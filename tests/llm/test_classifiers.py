@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -19,22 +21,26 @@ def auc(score, y):
 ODD = [(900001, "", "en"), (900002, None, None), (900003, "x" * 300_000, "zz"), (900004, "word " * 50_000, "en"), (None, "a", "de"), (900001, "", "en")]
 
 
-# some 30 toxic labels at this size, few of them outside English
-@pytest.mark.parametrize("op,column,least", [(toxicity, "toxic", 0.75), (quality, "quality", 0.95)])
-def test_held_out(spark, op, column, least):
-    if not table_exists("sf0.01"):
+@pytest.mark.parametrize("op,column,least,right,sf,folds,fold", [
+    (toxicity, "toxic", 0.75, 0.85, "sf0.01", 4, 2),  # some 30 toxic labels at this size, few of them outside English
+    (toxicity, "toxic", 0.93, 0.94, "sf0.1", 4, 2),
+    (quality, "quality", 0.97, 0.85, "sf0.01", 5, 0),
+])
+def test_held_out(spark, op, column, least, right, sf, folds, fold):
+    if not table_exists(sf):
         pytest.skip("no test tables")
-    docs, labels = documents(spark, "sf0.01")
+    docs, labels = documents(spark, sf)
     odd = spark.createDataFrame([(*r, "x") for r in ODD], DOCS)
     docs = docs.select("doc_id", "text", "lang", docs.source.alias("score")).unionByName(odd)
     rows = op.report(docs, labels).collect()
     assert len(rows) == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % folds == fold) for r in rows)
     truth = {r.doc_id: r[column] for r in labels.collect()}
     test = [(r.score, truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
     s, y, p = map(np.array, zip(*test, strict=True))
     assert auc(s, y) > least
-    assert (p == y).mean() > 0.85
+    assert (p == y).mean() > right
 
 
 @pytest.mark.parametrize("op", [toxicity, quality])
