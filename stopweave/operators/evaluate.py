@@ -19,8 +19,8 @@ PAIR = "trip_id string, n_segments long, n_wrong long, wrong_m double, avg_fd do
 def compared(truth: DataFrame, test: DataFrame, spacing: float = 5.0) -> DataFrame:
     """Segment-wise comparison of trips that both sides have a shape for.
 
-    Both: trip_id, shape array<struct<lat,lon,dist>>, stops array<double> (distances of the stops). Trips run in
-    batches, each by itself; identical shapes score 0 without a search.
+    Both: trip_id, shape array<struct<lat,lon,dist>>, stops array<double> (distances of the stops). Pairs of shapes and
+    stops are scored once for all trips that have them, in batches; identical shapes score 0 without a search.
     """
     both = truth.join(test.select("trip_id", F.col("shape").alias("shape_t"), F.col("stops").alias("stops_t")), "trip_id")
     both = both.filter("size(shape) > 0 and size(shape_t) > 0")
@@ -37,7 +37,11 @@ def compared(truth: DataFrame, test: DataFrame, spacing: float = 5.0) -> DataFra
                 out.append((r.trip_id, len(fds), len(wrong), metres, float(np.mean(fds)) if fds else 0.0, max(fds, default=0.0)))
             yield pd.DataFrame(out, columns=["trip_id", "n_segments", "n_wrong", "wrong_m", "avg_fd", "max_fd"])
 
-    return both.select("trip_id", "shape", "stops", "shape_t", "stops_t").mapInPandas(run, PAIR)
+    pair = ["shape", "stops", "shape_t", "stops_t"]
+    keyed = both.select("trip_id", *pair, F.sha2(F.to_json(F.struct(*pair)), 256).alias("_pair"))
+    once = keyed.groupBy("_pair").agg(*(F.first(c).alias(c) for c in pair))
+    scores = once.select(F.col("_pair").alias("trip_id"), *pair).mapInPandas(run, PAIR).withColumnRenamed("trip_id", "_pair")
+    return keyed.select("trip_id", "_pair").join(scores, "_pair").drop("_pair")
 
 
 def missing(truth: DataFrame, test: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def clock(secs: Column) -> Column:
 def read(spark: SparkSession, path: str, folder: str | None = None) -> dict[str, DataFrame]:
     """All tables of a feed, a directory or a zip file (unpacked to ``folder``, which all executors have to see)."""
     if path.endswith(".zip"):
-        folder = folder or tempfile.mkdtemp(prefix="gtfs-")
+        from stopweave.operators.graph import shared_folder
+
+        folder = folder or shared_folder(spark).removeprefix("file:")
         with zipfile.ZipFile(path) as z:
             for name in z.namelist():
                 if name.endswith(".txt") and "/" not in name:

@@ -65,9 +65,9 @@ def test_straight_way(spark, world):
 
 def test_lines(spark, world):
     own = replace(BASE, factors=(3.0, 1.0, 1.0), line_name=(("ref", None),), line_color=(("colour", None),))
-    assert path(world, feed(spark), own)[0] == [1, 4, 3]
-    assert path(world, feed(spark, name="S2"), own)[0] == [1, 2, 3]
     nodes, found = path(world, feed(spark), own)
+    assert nodes == [1, 4, 3]
+    assert path(world, feed(spark, name="S2"), own)[0] == [1, 2, 3]
     edges, known = matcher.with_lines(matcher.road_graph(world, own), world, own)
     colors = matcher.trip_colors(found.paths, edges, known)
     assert {(r.trip_id, r.color) for r in colors.collect()} == {("t", 0xFF0000), ("u", 0xFF0000)}
@@ -111,7 +111,8 @@ def test_planned_times(spark, world):
     slow = path(world, feed(spark, times=("8:00:00", "12:00:00")), cut)[0]
     assert slow == [1, 4, 3]
     norm = replace(BASE, transition_method="timenorm", transition=0.0)
-    assert path(world, feed(spark), norm)[0] == [1, 2, 3]
+    assert path(world, feed(spark, times=("8:00:00", "8:01:00")), norm)[0] == [1, 2, 3]
+    assert path(world, feed(spark, times=("8:00:00", "8:10:00")), norm)[0] != [1, 2, 3]  # ten minutes for two
 
 
 def test_one_trip_and_kept_shapes(spark, world):
