@@ -35,7 +35,7 @@ BOOKS, WORDS, BEAM = 16, 256, 6
 #: Vectors that codebooks are fitted on, at most.
 TRAIN, ROUNDS = 8192, 1
 #: Rows of a partition that are scored exactly for each query.
-SHORT = 256
+SHORT = 512
 QUERIES, BATCH = 4096, 4096
 QUERY_EVERY, K = 20, 20
 
