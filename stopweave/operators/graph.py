@@ -147,7 +147,7 @@ def turn_rules(restrictions: DataFrame, edges: DataFrame) -> DataFrame:
     """
     come = edges.select(F.col("eid").alias("from_eid"), F.col("way").alias("from_way"), F.col("dst").alias("via"))
     go = edges.select(F.col("eid").alias("to_eid"), F.col("way").alias("to_way"), F.col("src").alias("via"))
-    turns = come.join(go, "via").join(restrictions.select("via", "from_way").distinct(), ["via", "from_way"], "left_semi")
+    turns = come.join(restrictions.select("via", "from_way").distinct(), ["via", "from_way"], "left_semi").join(go, "via")
     judged = turns.join(restrictions.withColumnRenamed("to_way", "_to"), ["via", "from_way"]).groupBy("from_eid", "to_eid").agg(
         F.max("positive").alias("_only"),
         F.max(F.col("positive") & (F.col("_to") == F.col("to_way"))).alias("_named"),
@@ -160,10 +160,17 @@ def turn_costs(edges: DataFrame, banned: DataFrame | None, full_turn: int, angle
     """Dear turns: from_eid, to_eid, cost. A full turn goes back where one came from or, where more than two ways leave,
     turns by an ``angle`` (degrees between the ways) below the limit; a ban (from_eid, to_eid) costs ``restricted``.
 
-    ``edges``: eid, src, dst, lat1, lon1, lat2, lon2. At turning circles (nid) no turn is dear.
+    ``edges``: eid, src, dst, lat1, lon1, lat2, lon2. At turning circles (nid) no turn is dear. Where full turns cost nothing,
+    only banned turns are looked at, and the edges need no places.
     """
     from stopweave.functions.geo import turn_angle
 
+    if banned is not None and not full_turn:
+        ends = edges.select(F.col("eid").alias("from_eid"), F.col("dst").alias("via"))
+        rows = banned.join(ends, "from_eid").join(edges.select(F.col("eid").alias("to_eid"), F.col("src").alias("via")), ["to_eid", "via"])
+        if circles is not None:
+            rows = rows.join(circles.select(F.col("nid").alias("via")), "via", "left_anti")
+        return rows.select("from_eid", "to_eid", F.lit(restricted).cast("long").alias("cost")).filter("cost > 0")
     come = edges.select(F.col("eid").alias("from_eid"), F.col("src").alias("a"), F.col("dst").alias("via"), "lat1", "lon1", "lat2", "lon2")
     ways = edges.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("_ways"))
     go = edges.select(F.col("eid").alias("to_eid"), F.col("src").alias("via"), F.col("dst").alias("b"), F.col("lat2").alias("lat3"), F.col("lon2").alias("lon3"))

@@ -306,12 +306,19 @@ SELECT a.eid AS from_eid, b.eid AS to_eid, least(a.cost + 30000, 4294967295) AS
 FROM e a JOIN e b ON a.dst = b.src WHERE EXISTS (SELECT 1 FROM r WHERE r.via = a.dst AND from_way = a.src % 50 AND to_way = b.src % 50)"""
 )
 def restriction_cost(spark: SparkSession, d: str) -> DataFrame:
-    """A forbidden turn's cost on top of the edge it leaves."""
-    e = _both(spark, d).withColumn("way", F.col("src") % 50)
+    """A forbidden turn's cost on top of the edge it leaves.
+
+    Edges go by both of their ends: one number of the two is not unique beyond a million nodes. They are made once, and
+    merged, as the tables they come from are too small on disk for sizes to be guessed from.
+    """
+    one = view(spark, d, "edges").select("src", "dst", "cost")
+    both = graph._written(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")), "both")
+    e = both.hint("merge").withColumns({"eid": F.struct("src", "dst"), "way": F.col("src") % 50})
     rest = e.filter("cost % 7 = 0").select(F.col("dst").alias("via"), F.col("way").alias("from_way"), (F.col("dst") % 50).alias("to_way"), F.lit(False).alias("positive"))
     extra = graph.turn_costs(e, graph.turn_rules(rest.distinct(), e), 0, 0.0, 30000)
     rows = extra.join(e.select(F.col("eid").alias("from_eid"), F.col("cost").alias("own")), "from_eid")
-    return rows.select("from_eid", "to_eid", costs.added(F.col("own"), F.col("cost")).alias("cost"))
+    number = lambda c: (F.col(f"{c}.src") * 1_000_000 + F.col(f"{c}.dst")).alias(c)
+    return rows.select(number("from_eid"), number("to_eid"), costs.added(F.col("own"), F.col("cost")).alias("cost"))
 
 
 @query("SELECT src, dst, least(least(cost + 4294967000, 4294967295) + 7, 4294967295) AS cost FROM {edges}")

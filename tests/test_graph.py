@@ -171,3 +171,25 @@ def test_outputs(spark, tmp_path):
     assert own.count() == 2 and shapes.with_attribution(own, "osm", "v").count() == 2
     st = frame(spark, [(1, 1, 5, 0), (1, 2, 6, 9), (2, 1, 5, 0)], "trip_id long, seq long, stop_id long, dep_s long")
     assert patterns.trie(st).count() == 2
+
+
+def test_banned_turns_need_no_places(spark):
+    """Edges may be told apart by both of their ends, and where full turns are free no angle is asked for."""
+    links = [(1, 2), (2, 1), (2, 3), (3, 2), (2, 1_000_005), (1, 1_000_005), (1_000_005, 7), (5, 7)]
+    e = spark.createDataFrame(links, "src long, dst long").withColumns({"eid": F.struct("src", "dst"), "way": F.col("src") % 50})
+    rules = spark.createDataFrame([(2, 1, 2, False), (1_000_005, 1, 5, False)], "via long, from_way long, to_way long, positive boolean")
+    got = graph.turn_costs(e, graph.turn_rules(rules, e), 0, 0.0, 30000).collect()
+    want = {((1, 2), (2, b)) for b in (1, 3, 1_000_005)} | {((1, 1_000_005), (1_000_005, 7))}
+    assert len(got) == len(want) and {(tuple(r.from_eid), tuple(r.to_eid)) for r in got} == want and {r.cost for r in got} == {30000}
+    circles = spark.createDataFrame([(2,)], "nid long")
+    assert graph.turn_costs(e, graph.turn_rules(rules, e), 0, 0.0, 30000, circles).count() == 1
+
+
+def test_restriction_cost_broadcasts_no_edges(spark, sf_dir):
+    """However small the tables are on disk: the driver has no room for all edges."""
+    from stopweave.queries import QUERIES
+
+    import stopweave.queries_map  # noqa: F401
+
+    plan = QUERIES["restriction_cost"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
