@@ -70,8 +70,14 @@ def tokens(name: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(tokens(a), tokens(b)))
-    return F.when(union > 0, F.size(F.array_intersect(tokens(a), tokens(b))) / union).otherwise(F.lit(0.0))
+    return jaccard_of(tokens(a), tokens(b))
+
+
+def jaccard_of(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct tokens, cut beforehand where a name meets many others."""
+    both = F.array_size(F.array_intersect(a, b))
+    union = F.array_size(a) + F.array_size(b) - both
+    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
 def jaccard_same(a: Column, b: Column) -> Column:
@@ -80,8 +86,13 @@ def jaccard_same(a: Column, b: Column) -> Column:
 
 def jaccard_near(a: Column, b: Column, metres: Column) -> Column:
     """Mean of the names' and the places' similarity above a half; without a place, the names' alone."""
-    both = (F.exp(F.lit(-0.0081546727) * metres) + jaccard(a, b)) / 2 > 0.5
-    return F.when(metres.isNull(), jaccard_same(a, b)).otherwise(both)
+    return tokens_near(tokens(a), tokens(b), metres)
+
+
+def tokens_near(a: Column, b: Column, metres: Column) -> Column:
+    """As :func:`jaccard_near`, of arrays of distinct tokens."""
+    like = jaccard_of(a, b)
+    return F.when(metres.isNull(), like > 0.45).otherwise((F.exp(F.lit(-0.0081546727) * metres) + like) / 2 > 0.5)
 
 
 def edit_same(a: Column, b: Column) -> Column:

@@ -91,11 +91,16 @@ def stations(tables: Tables, edges: DataFrame, options: Options) -> DataFrame:
     return rows.withColumn("track", text.normalise(F.col("_track"), options.track_chain)).drop("_name", "_track")
 
 
+def name_key(options: Options, name: Column) -> Column:
+    """What :func:`similar` compares: the name or, where the chosen method takes them, its tokens, so that each name is cut once."""
+    return text.tokens(name) if options.similarity.startswith("jaccard") else name
+
+
 def similar(options: Options, a: Column, b: Column, metres: Column) -> Column:
-    """Names, and places ``metres`` apart, are of one station by the chosen method."""
+    """Names, given by their :func:`name_key`, and places ``metres`` apart, are of one station by the chosen method."""
     return {
-        "jaccard": lambda: text.jaccard_same(a, b),
-        "jaccard-geodist": lambda: text.jaccard_near(a, b, metres),
+        "jaccard": lambda: text.jaccard_of(a, b) > 0.45,
+        "jaccard-geodist": lambda: text.tokens_near(a, b, metres),
         "bts": lambda: text.subsequence_same(a, b),
         "ed": lambda: text.edit_same(a, b),
         "ped": lambda: text.prefix_same(a, b),
@@ -113,17 +118,31 @@ def edge_cands(stops: DataFrame, edges: DataFrame, options: Options) -> DataFram
     return near.select("stop_id", "eid", "progr", pen.alias("pen"))
 
 
-def station_cands(stops: DataFrame, found: DataFrame, edges: DataFrame, options: Options) -> DataFrame:
-    """stop_id, eid, progr (0), pen: edges that leave the stations around each stop; other names and tracks cost more."""
-    near = spatial.within_radius(stops, found, options.station_reach, options.max_lat)
-    other_name = F.when(similar(options, F.col("name"), F.col("name_r"), F.col("dist")), 0.0).otherwise(options.station_pen)
-    known = (F.coalesce("platform", F.lit("")) != "") & (F.col("track_r") != "")
-    same = F.col("platform") == F.col("track_r")
+def station_pens(stops: DataFrame, found: DataFrame, edges: DataFrame, options: Options) -> DataFrame:
+    """stop_id, pen and eids, the edges that leave the station: a row for each station around a stop that has such edges.
+
+    The stops are copied to the cells around them, as there are fewer of them.
+    """
+    leaving = edges.filter("oneway <> 2").groupBy(F.col("src").alias("nid")).agg(F.collect_list("eid").alias("eids"))
+    key = name_key(options, F.col("name")).alias("key")
+    places = found.select("nid", "lat", "lon", key, "track").join(leaving, "nid")
+    around = stops.select("stop_id", "lat", "lon", key, "platform")
+    near = spatial.within_radius(places, around, options.station_reach, options.max_lat)
+    other_name = F.when(similar(options, F.col("key_r"), F.col("key"), F.col("dist")), 0.0).otherwise(options.station_pen)
+    known = (F.coalesce("platform_r", F.lit("")) != "") & (F.col("track") != "")
+    same = F.col("platform_r") == F.col("track")
     wrong = known & (same if options.platform_pen_on == "match" else ~same)
     pen = costs.emission(F.col("dist"), options.emission, options.emission_method) + other_name + F.when(wrong, options.platform_pen).otherwise(0.0)
-    rows = near.select("stop_id", F.col("nid_r").alias("src"), pen.alias("pen"))
-    leaving = edges.filter("oneway <> 2").select("src", "eid")
-    return rows.join(leaving, "src").select("stop_id", "eid", F.lit(0.0).alias("progr"), "pen")
+    return near.select(F.col("stop_id_r").alias("stop_id"), "eids", pen.alias("pen"))
+
+
+def station_cands(stops: DataFrame, found: DataFrame, edges: DataFrame, options: Options) -> DataFrame:
+    """stop_id, eid, progr (0), pen: edges that leave the stations around each stop; other names and tracks cost more."""
+    return leaving_edges(station_pens(stops, found, edges, options))
+
+
+def leaving_edges(pens: DataFrame) -> DataFrame:
+    return pens.select("stop_id", F.explode("eids").alias("eid"), F.lit(0.0).alias("progr"), "pen")
 
 
 def stop_candidates(stops: DataFrame, edges: DataFrame, options: Options, found: DataFrame | None = None) -> DataFrame:

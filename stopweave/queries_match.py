@@ -225,9 +225,12 @@ SELECT stop_id, eid, 0e0 AS progr, round(dist * 0.0039e0 + CASE WHEN (exp(-0.008
 
 @query(_STATIONS)
 def station_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that leave stations around a stop, dearer where names or tracks differ."""
+    """Edges that leave stations around a stop, dearer where names or tracks differ.
+
+    Stations and edges are merged, as the tables they come from are too small on disk for sizes to be guessed from.
+    """
     stops = view(spark, d, "stops").select("stop_id", F.lower("stop_name").alias("name"), "lat", "lon", (F.col("stop_id") % 3).cast("string").alias("platform"))
-    p = spark.read.parquet(f"{d}/part.parquet").withColumn("k", F.col("p_partkey"))
+    p = spark.read.parquet(f"{d}/part.parquet").hint("merge").withColumn("k", F.col("p_partkey"))
     found = p.select(
         F.col("k").alias("nid"), F.lower(F.concat("p_name", F.when(F.col("k") % 2 == 0, " north").otherwise(""))).alias("name"),
         (47 + ((F.col("k") * 7919) % 1009) / F.lit(1009.0) + 0.002).alias("lat"), (8 + ((F.col("k") * 6271) % 1013) / F.lit(1013.0)).alias("lon"),
@@ -236,7 +239,8 @@ def station_candidates(spark: SparkSession, d: str) -> DataFrame:
     e = view(spark, d, "edges").select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumns({"eid": F.col("src") * 1_000_000 + F.col("dst"), "oneway": F.lit(0)})
     options = Options(station_m=2000.0, station_unmatched_pen=0.4, platform_pen=0.1, max_lat=50)
-    return matcher.station_cands(stops, found, both, options).withColumn("pen", F.round("pen", 6))
+    pens = matcher.station_pens(stops.hint("merge"), found, both, options)
+    return matcher.leaving_edges(pens.withColumn("pen", F.round("pen", 6)))
 
 
 # --- outputs ----------------------------------------------------------------------------------------------

@@ -193,3 +193,18 @@ def test_restriction_cost_broadcasts_no_edges(spark, sf_dir):
 
     plan = QUERIES["restriction_cost"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_station_candidates_broadcast_neither_stops_nor_stations(spark, sf_dir):
+    import stopweave.queries_match  # noqa: F401
+    from stopweave.queries import QUERIES
+
+    plan = QUERIES["station_candidates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("BroadcastHashJoin") <= 1  # nations
+
+
+def test_tokens_of_names_that_are_missing(spark):
+    rows = spark.createDataFrame([("a b", "b c", 10.0), ("a", "a", None), ("", "", 5.0), (None, "a", 5.0), ("a", None, None)], "a string, b string, m double")
+    key = [text.tokens(F.col(c)) for c in ("a", "b")]
+    got = rows.select(text.jaccard_of(*key), text.tokens_near(*key, F.col("m"))).collect()
+    assert [(round(r[0], 6), r[1]) for r in got] == [(0.333333, True), (1.0, True), (0.0, False), (0.0, False), (0.0, False)]
