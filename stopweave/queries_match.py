@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopweave.functions import costs, geo, text
-from stopweave.operators import evaluate, patterns, routing, shapes
+from stopweave.operators import evaluate, graph, patterns, routing, shapes, spatial
 from stopweave.plans import matcher
 from stopweave.plans.options import Options
 from stopweave.plans.world import view
-from stopweave.queries import _HOPS, _NAMED_PAIRS, _SCORES, _hav, _name_pairs, _scores, query
+from stopweave.queries import _HOPS, _NAMED_PAIRS, _NEAR_M, _SCORES, _hav, _scores, query
 from stopweave.sources import exports, gtfs
 
 # --- names ------------------------------------------------------------------------------------------------
@@ -46,6 +46,8 @@ def any_name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "id_r", text.any_similar(F.array("name", "kind"), F.array("name_r", "b2")).alias("same"))
 
 
+#: Pairs of names whose similarities may be broadcast, some 160 bytes each.
+_BROADCAST_NAMES = 1_500_000
 _RUNS = "list_distinct(flatten(list_transform(range(1, len({0}) + 1), lambda i: list_transform(range(i, len({0}) + 1), lambda j: array_to_string({0}[i:j], ' ')))))"
 _BEST = "coalesce(list_max(list_transform({0}, lambda r: 1 - levenshtein(r, {1}) / cast(greatest(length(r), length({1}), 1) AS double))), 0)"
 
@@ -60,13 +62,25 @@ SELECT stop_id, stop_id_r, 1 - least(p1, p2) > 0.875 AS prefix, greatest({_BEST.
   round(1 - least(p1, p2), 6) AS prefix_simi, round(greatest({_BEST.format("ra", "name_r")}, {_BEST.format("rb", "name")}), 6) AS run_simi FROM r"""
 )
 def name_similarity_kernels(spark: SparkSession, d: str) -> DataFrame:
-    """Prefix edit distance and best run of words."""
+    """Prefix edit distance and best run of words, worked out once for each two names that are near one another somewhere."""
+    s = view(spark, d, "stops").select("stop_id", F.lower("stop_name").alias("name"), "lat", "lon")
+    names = graph._written(s.select("name").distinct().withColumn("n", F.row_number().over(Window.orderBy("name"))), "names")
+    places = s.withColumnRenamed("name", "_name").join(names.hint("merge"), F.col("_name").eqNullSafe(F.col("name")))
+    places = graph._written(places.select("stop_id", "n", "lat", "lon"), "places").hint("merge")
+    near = spatial.within_radius(places, places, _NEAR_M, 50, F.col("stop_id") < F.col("stop_id_r"), 3)
+    near = near.select("stop_id", "stop_id_r", F.least("n", "n_r").alias("n"), F.greatest("n", "n_r").alias("n_r"))
+    pairs = near.select("n", "n_r").distinct().join(names, "n").join(names.select(F.col("n").alias("n_r"), F.col("name").alias("name_r")), "n_r")
+    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "n", "n_r")
     a, b = F.col("name"), F.col("name_r")
     part = F.least(text.prefix_distance(a, b) / F.length(a), text.prefix_distance(b, a) / F.length(b))
-    return _name_pairs(spark, d).select(
-        "stop_id", "stop_id_r", text.prefix_same(a, b).alias("prefix"), text.subsequence_same(a, b).alias("run"),
-        F.round(1 - part, 6).alias("prefix_simi"), F.round(text.best_subsequence(a, b), 6).alias("run_simi"),
+    known = pairs.select("n", "n_r", (1 - part).alias("_p"), text.best_subsequence(a, b).alias("_r"))
+    known = known.select(
+        "n", "n_r", (F.col("_p") > 0.875).alias("prefix"), (F.col("_r") > 0.85).alias("run"),
+        F.round("_p", 6).alias("prefix_simi"), F.round("_r", 6).alias("run_simi"),
     )
+    known = graph._written(known, "known")
+    known = F.broadcast(known) if known.count() <= _BROADCAST_NAMES else known.hint("merge")
+    return near.join(known, ["n", "n_r"]).drop("n", "n_r")
 
 
 @query("SELECT route_id, lower(regexp_replace(regexp_replace(short_name, '^(line|aut|mac) ?', 'l', 'gi'), '([a-z]+)([0-9]+)', '\\2-\\1', 'gi')) AS name FROM {routes}")

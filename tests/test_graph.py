@@ -208,3 +208,17 @@ def test_tokens_of_names_that_are_missing(spark):
     key = [text.tokens(F.col(c)) for c in ("a", "b")]
     got = rows.select(text.jaccard_of(*key), text.tokens_near(*key, F.col("m"))).collect()
     assert [(round(r[0], 6), r[1]) for r in got] == [(0.333333, True), (1.0, True), (0.0, False), (0.0, False), (0.0, False)]
+
+
+def test_names_are_compared_once(spark, sf_dir):
+    """The rows of stops look up what two names have; finer cells find the same pairs."""
+    import stopweave.queries_match  # noqa: F401
+    from stopweave.operators import spatial
+    from stopweave.queries import QUERIES
+
+    plan = QUERIES["name_similarity_kernels"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan
+    rows = spark.range(150).select("id", (47 + F.col("id") * 7919 % 1009 / 1009.0).alias("lat"), (8 + F.col("id") * 6271 % 1013 / 1013.0).alias("lon"))
+    wide = {(r.id, r.id_r) for r in spatial.within_radius(rows, rows, 9000, 50).filter("id < id_r").collect()}
+    fine = [(r.id, r.id_r) for r in spatial.within_radius(rows, rows, 9000, 50, F.col("id") < F.col("id_r"), 3).collect()]
+    assert wide and len(fine) == len(wide) and set(fine) == wide
