@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and models fitted on them in one task."""
+"""Labelled documents, all or bounded samples of them, and models fitted on samples in one task."""
 
 from __future__ import annotations
 
@@ -20,6 +20,20 @@ def label_counts(labels: DataFrame, column: str, learn: Column) -> dict[int, int
     return {int(r[0]): int(r[1]) for r in rows}
 
 
+#: Labels whose documents are found by a broadcast, so that no other text is shuffled.
+BROADCAST_LABELS = 1_000_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, n: int) -> DataFrame:
+    """All documents of the ``n`` labels that may be learnt from: doc_id, text, lang and label.
+
+    A document labelled twice counts with its larger label, and of rows that repeat a doc_id the smallest text.
+    """
+    known = labels.filter(learn & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
+    return _texts(docs, F.broadcast(known) if n <= BROADCAST_LABELS else known.hint("merge"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int, seed: int = 0) -> DataFrame:
     """At most ``per_class`` documents of each label that may be learnt from: doc_id, text, lang and label.
 
@@ -30,7 +44,10 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_c
     known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
     order = F.xxhash64("doc_id", F.lit(seed))
     drawn = [known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(drawn[0].unionByName(drawn[1]))
+    return _texts(docs, F.broadcast(drawn[0].unionByName(drawn[1])))
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang").join(ids, "doc_id")
     once = rows.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "label")).alias("_r"))
     return once.select("doc_id", "_r.text", "_r.lang", "_r.label")

@@ -81,3 +81,19 @@ def test_features_of_runs():
     whole = np.concatenate([quality.features(d, o) for _, o, d in textvec.runs([batch])])
     one = np.concatenate([quality.features(d, o) for _, o, d in textvec.runs([batch], limit=1)])
     assert np.allclose(whole, one)
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """No label is left aside, however many there are, and shards that train side by side learn what each of them saw."""
+    n = 7000
+    rows = [(i, f"a{i % 7} b{i % 5} c{i % 3} " + ("badword" if i % 10 == 0 else "good"), "en") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(n)], "doc_id long, toxic int")
+    seen = []
+    counted = toxicity.ConvNet.counted
+    monkeypatch.setattr(toxicity.ConvNet, "counted", staticmethod(lambda counts: (seen.append(counts[0].tolist()), counted(counts))[1]))
+    model = toxicity.train(docs, labels, shard=1500)
+    learn = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 0.75 * len(learn) < seen[0][0] < 0.85 * len(learn) and seen[0][0] > 4000  # the others set thresholds
+    s = model.net.scores(toxicity.gather(["a1 b1 c1 badword", "a1 b1 c1 good"]))
+    assert s[0] > 0.5 > s[1] and s[1] < model.thresholds["en"] < s[0]
